@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zlib
@@ -17,6 +18,9 @@ NULL_ID = (1 << 63) - 1
 #: At most so many rows are broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
 
+#: And at most so many bytes of a column of varying length.
+BROADCAST_BYTES = 32 << 20
+
 #: A filter never takes more bits than this (8 MiB), whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -51,8 +55,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast if its row count, which is checked, is within the limit; else as it is."""
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, size_col: str | None = None) -> DataFrame:
+    """The table marked for broadcast if its row count, which is checked, is within the limit; else as it is.
+
+    Where rows can be long, ``size_col`` names the long column, whose bytes may be ``BROADCAST_BYTES`` at most.
+    """
+    if size_col:
+        rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(size_col)), F.lit(0))).first()
+        return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
@@ -74,6 +84,23 @@ def byte_list(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+class WordHashes(dict):
+    """64-bit hash (signed) by word; the memory is bounded."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.LIMIT:
+            self.clear()
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        if len(word) < 64:
+            self[word] = found
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift), to spread bits."""
     with np.errstate(over="ignore"):
