@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat_format, decontaminate, exact_dedup, packing, quality, substring_dedup, toxicity, warc
+from palimpsest.llm import chat_format, decontaminate, exact_dedup, jaccard_join, packing, quality, substring_dedup, toxicity, warc
 from palimpsest.llm.common import read_table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS grams FROM w),
+n AS (SELECT doc_id, len(grams) AS n_shingles, md5(array_to_string(list_sort(grams), chr(10))) AS digest FROM g),
+k AS (SELECT doc_id, n_shingles, CASE WHEN n_shingles > 0 THEN min(doc_id) OVER (PARTITION BY digest) ELSE doc_id END AS class_id FROM n),
+s AS (SELECT g.doc_id, n_shingles, unnest(grams) AS gram FROM g JOIN k ON g.doc_id = k.doc_id AND k.doc_id = k.class_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n_shingles, b.n_shingles HAVING 100 * count(*) >= 90 * (a.n_shingles + b.n_shingles - count(*))),
+r AS (SELECT doc_id AS x, doc_id AS y FROM k WHERE doc_id = class_id UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x AS class_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, n_shingles, class_id, component_id FROM k JOIN c USING (class_id)
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -91,6 +110,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
@@ -101,4 +121,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_chat_format": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_chat_format": OP8_SQL}
