@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat_format, decontaminate, exact_dedup, jaccard_join, packing, quality, substring_dedup, toxicity, warc
+from palimpsest.llm import chat_format, decontaminate, exact_dedup, hmm_lm, jaccard_join, packing, quality, substring_dedup, toxicity, warc
 from palimpsest.llm.common import read_table
 
 
@@ -41,6 +41,10 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -112,6 +116,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_hmm_lm": op3_hmm_lm,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
