@@ -204,3 +204,13 @@ def _by_bytes(everyone: DataFrame, verified: DataFrame, found: DataFrame) -> Dat
     ids = ids.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     mended = ids.select("doc_id", "key", "keep_id", "group_size", "text_sha256", ((F.col("doc_id") == F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"))
     return everyone.join(torn, "key", "left_anti").unionByName(mended)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stay: one of each text. Rows without doc_id stay."""
+    found = stored(exact_dedup(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col), (F.col("doc_id") == F.col("keep_id")).alias("again")), "copies")
+    out = docs.join(small_enough(found.where("not again").select(id_col).distinct()), id_col, "left_anti").select(docs.columns)
+    if found.where("again").limit(1).count():
+        key = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+        out = out.withColumn("__palimpsest_key", key).dropDuplicates([id_col, "__palimpsest_key"]).drop("__palimpsest_key")
+    return out

@@ -319,5 +319,5 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows, with all their columns, whose doc_id is the smallest of its component."""
     found = jaccard_join(docs, size=size, percent=percent)
     gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(small_enough(gone), "doc_id", "left_anti")
+    return docs.join(small_enough(gone), "doc_id", "left_anti").select(docs.columns)
 
