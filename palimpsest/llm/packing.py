@@ -14,9 +14,10 @@ of all pieces share is still dealt over all tasks, and each row reads its place
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,10 @@ from palimpsest.llm.common import identified, real_id, shuffle_partitions, small
 
 
 class WordIds(dict):
-    """Token ids by white-space word. The vocabulary's pre-tokeniser never joins what ASCII white space parts."""
+    """Token ids (packed, unsigned 32-bit) by white-space word; the memory is bounded.
+
+    The vocabulary's pre-tokeniser never joins what ASCII white space parts, so a text's ids are those of its words.
+    """
 
     LIMIT = 400_000
 
@@ -36,29 +40,32 @@ class WordIds(dict):
 
         self.encode = Tokenizer.from_file(path).encode
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = tuple(self.encode(word.decode(), add_special_tokens=False).ids)
-        if len(word) < 64:
+    def __missing__(self, word: bytes) -> bytes:
+        ids = array("I", self.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(self) < self.LIMIT and len(word) < 64:
             self[word] = ids
         return ids
 
+    def of(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
 
-def token_ids(words: WordIds, text: bytes, end_id: int) -> np.ndarray:
-    return np.array([*chain.from_iterable([words[w] for w in text.split()]), end_id], dtype="<u4")
+@cache
+def word_ids(path: str) -> WordIds:
+    """One table a worker process, kept from task to task."""
+    return WordIds(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words, end = word_ids(path), array("I", [end_id]).tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = token_ids(words, text, end_id)
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
+                ids = words.of(text) + end
+                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * start : 4 * (start + capacity)]
+                    rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut
