@@ -39,20 +39,19 @@ def paths(messages: DataFrame) -> DataFrame:
     """
     nodes = messages.select("tree", "message", "parent")
     known = nodes.select("tree", F.col("message").alias("parent"), F.lit(True).alias("there"))
-    up = nodes.join(known, ["tree", "parent"], "left").select("tree", "message", F.when(F.col("there"), F.col("parent")).alias("up"))
-    jumps = [stored(up, "jumps")]
-    size = jumps[0].count()
-    while 1 << (len(jumps) - 1) < max(1, size) and jumps[-1].where("up is not null").limit(1).count():
+    up = stored(nodes.join(known, ["tree", "parent"], "left").select("tree", "message", F.when(F.col("there"), F.col("parent")).alias("up")), "replies")
+    jumps = [up.where("up is not null")]  # each table has only the messages that the jump leads somewhere
+    size = up.count()
+    while 1 << (len(jumps) - 1) < max(1, size) and jumps[-1].limit(1).count():
         last = jumps[-1]
         further = last.select("tree", F.col("message").alias("up"), F.col("up").alias("next"))
-        jumps.append(stored(last.join(further, ["tree", "up"], "left").select("tree", "message", F.col("next").alias("up")), "jumps"))
-    circles = jumps[-1].where("up is not null").select("tree", "message")
-    parents = jumps[0].where("up is not null").select("tree", F.col("up").alias("message")).distinct()
-    leaves = jumps[0].select("tree", "message").join(parents, ["tree", "message"], "left_anti").join(circles, ["tree", "message"], "left_anti")
+        jumps.append(stored(last.join(further, ["tree", "up"]).select("tree", "message", F.col("next").alias("up")), "jumps"))
+    circles = jumps[-1].select("tree", "message")
+    parents = jumps[0].select("tree", F.col("up").alias("message")).distinct()
+    leaves = up.select("tree", "message").join(parents, ["tree", "message"], "left_anti").join(circles, ["tree", "message"], "left_anti")
     found = leaves.select("tree", F.col("message").alias("leaf"), "message", F.lit(0).alias("height"))
     for k in range(len(jumps) - 2, -1, -1):
-        jump = jumps[k].where("up is not null")
-        found = found.join(jump, ["tree", "message"], "left")
+        found = found.join(jumps[k], ["tree", "message"], "left")
         found = found.select("tree", "leaf", F.inline(F.when(F.col("up").isNull(), F.array(F.struct("message", "height"))).otherwise(F.array(F.struct("message", "height"), F.struct(F.col("up").alias("message"), (F.col("height") + (1 << k)).alias("height"))))))
     return found
 
