@@ -13,6 +13,7 @@ of all pieces share is still dealt over all tasks, and each row reads its place
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -24,30 +25,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import identified, real_id, shuffle_partitions, small_enough, stored
+from palimpsest.llm.common import byte_list, identified, real_id, shuffle_partitions, small_enough, stored
 
 
 class WordIds(dict):
     """Token ids (packed, unsigned 32-bit) by white-space word; the memory is bounded.
 
     The vocabulary's pre-tokeniser never joins what ASCII white space parts, so a text's ids are those of its words.
+    It lower-cases, so A-Z may be lower-cased first, except where a text could hold a special token's string; and it
+    parts a word of letters from the marks that end it. Words of letters are new to the table hundreds at a time and
+    are encoded in one string: each of them ends in the one id whose token carries the end-of-word mark.
     """
 
-    LIMIT = 400_000
+    LIMIT, TOGETHER = 800_000, 512
+    MARKS = b".,;:!?"
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = array("I", self.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        if len(self) < self.LIMIT and len(word) < 64:
-            self[word] = ids
-        return ids
-
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Puts in the words that aren't there."""
+        letters, others, marked = set(), [], []
+        for word in words:
+            stem = word.rstrip(self.MARKS)
+            if not stem.decode().lower().isalpha():
+                others.append(word)
+                continue
+            if len(stem) < len(word):
+                marked.append((word, stem, word[len(stem) :]))
+                if marked[-1][2] not in self:
+                    self[marked[-1][2]] = array("I", self._encoded([marked[-1][2].decode()])[0]).tobytes()
+            if stem not in self:
+                letters.add(stem)
+        alone = sorted(letters)
+        chunks = [alone[i : i + self.TOGETHER] for i in range(0, len(alone), self.TOGETHER)]
+        for chunk, ids in zip(chunks, self._encoded([b" ".join(c).decode() for c in chunks]), strict=True):
+            ids = np.array(ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(chunk) and cuts[-1] == len(ids):
+                self.update(zip(chunk, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+            else:
+                others += chunk
+        for word, ids in zip(others, self._encoded([w.decode() for w in others]), strict=True):
+            self[word] = array("I", ids).tobytes()
+        for word, stem, marks in marked:
+            self[word] = self[stem] + self[marks]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if new := set().union(*split).difference(self.keys()):
+            self.learn(new)
+        out = [b"".join(map(self.__getitem__, words)) for words in split]
+        while len(self) > self.LIMIT:  # the latest go: frequent words come early
+            self.popitem()
+        return out
 
 
 @cache
@@ -56,13 +94,26 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _in_groups(words: WordIds, texts: list[bytes], size: int = 1 << 22) -> Iterator[bytes]:
+    """The texts' ids, worked on in groups of a few megabytes."""
+    group: list[bytes] = []
+    held = 0
+    for text in texts:
+        group.append(text)
+        held += len(text)
+        if held >= size:
+            yield from words.of(group)
+            group, held = [], 0
+    yield from words.of(group)
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_ids(path), array("I", [end_id]).tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = words.of(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), _in_groups(words, byte_list(batch.column(1))), strict=True):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
