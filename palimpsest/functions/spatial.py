@@ -150,7 +150,7 @@ def to_wkt(g: Geometry) -> str:
     run = lambda c: "(" + ", ".join(f"{number(x)} {number(y)}" for x, y in c) + ")"
     body = {
         "POINT": lambda: run(g.points), "LINESTRING": lambda: run(g.lines[0]), "POLYGON": lambda: "(" + ", ".join(map(run, g.polygons[0])) + ")",
-        "MULTIPOINT": lambda: run(g.points), "MULTILINESTRING": lambda: "(" + ", ".join(map(run, g.lines)) + ")",
+        "MULTIPOINT": lambda: "(" + ", ".join(run([p]) for p in g.points) + ")", "MULTILINESTRING": lambda: "(" + ", ".join(map(run, g.lines)) + ")",
         "MULTIPOLYGON": lambda: "(" + ", ".join("(" + ", ".join(map(run, p)) + ")" for p in g.polygons) + ")", "GEOMETRYCOLLECTION": lambda: "(" + ", ".join(map(to_wkt, g.parts)) + ")",
     }
     return f"{g.kind} EMPTY" if not len(g.coordinates()) else f"{g.kind} {body[g.kind]()}"
@@ -291,7 +291,7 @@ class Relation:
         return bool(self.da == self.db and self.m[0, 0] and self.m[0, 2] and self.m[2, 0] and (self.da != 1 or self.along))
 
     def equals(self) -> bool:
-        return bool(self.m[0, 0] and not self.m[0, 2] and not self.m[2, 0])
+        return bool(self.da == self.db and self.m[0, 0] and not self.m[:2, 2].any() and not self.m[2, :2].any())
 
 
 def _crossings(ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
