@@ -16,10 +16,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.identity import with_identity
 from palimpsest.operators import diff as d
 from palimpsest.operators import history, merge
 from palimpsest.operators.index import build, updated
+from palimpsest.operators.snapshot import adapt, entries
 from palimpsest.plans import ql
+from palimpsest.sources.files import import_table
+from palimpsest.sources.files import write as write_files
 from palimpsest.sources.store import Store
 
 HEAD, MASTER = "HEAD", "refs/heads/master"
@@ -263,6 +267,61 @@ class Repo:
         key = self.key(layer)
         return history.blame(rows, key, [c for c in rows.columns if c not in (key, "commit", "at")], ["at"]).join(self.store.read(last).select(key), key, "left_semi")
 
+    # --- objects, imports and exports
+
+    def show(self, spec: str) -> DataFrame:
+        """One feature (``revision:layer/key``) or one layer's rows."""
+        revision, path = ql.split_table(spec)
+        layer, _, fid = path.partition("/")
+        rows = self.snapshot(f"{revision}:{layer}")
+        return rows.where(F.col(self.tree(revision)[layer][0]).cast("string") == fid) if fid else rows
+
+    def identified(self, spec: str) -> DataFrame:
+        """A layer's rows with their object and feature-type ids."""
+        revision, layer = ql.split_table(spec)
+        return with_identity(self.snapshot(spec), self.tree(revision)[layer][0])
+
+    def cat(self, object_id: str, revision: str = HEAD) -> list[DataFrame]:
+        """The rows, layer by layer, whose object id begins so."""
+        return [self.identified(f"{revision}:{layer}").where(F.col("object_id").startswith(object_id)) for layer in self.layers(revision)]
+
+    def listing(self, revision: str = HEAD) -> DataFrame:
+        """All entries of a revision, for ``snapshot.ls_tree``."""
+        tree = self.tree(revision)
+        keys = {k for k, _ in tree.values()}
+        return entries({n: self.store.read(snap).select(F.col(k).alias("fid")) for n, (k, snap) in tree.items()}, "fid") if keys else self.spark.createDataFrame([], "path string, parent_path string, type string, depth int")
+
+    def import_layer(self, layer: str, df: DataFrame, fid: str | None = None, where: str | None = None, overwrite: bool = False, alter: bool = False, message: str | None = None) -> str | None:
+        """A source table into the working tree, and with a message added and committed too.
+
+        ``overwrite`` replaces the layer instead of adding to it; without ``alter`` rows take the layer's schema.
+        """
+        work = self.tree()
+        schema = {k: v for k, v in self.snapshot(layer).dtypes if k != "fid"} if layer in work and not alter and not overwrite else None
+        rows = import_table(df, fid, where, schema)
+        self.write(layer, rows) if overwrite else self.insert(layer, rows)
+        if message is None:
+            return None
+        self.add(layer)
+        return self.commit(message)
+
+    def export(self, spec: str, path: str, kind: str = "parquet", box: tuple[float, float, float, float] | None = None, x: str = "x", y: str = "y", where: str | None = None, schema: dict[str, str] | None = None) -> None:
+        """A layer of a revision to files, within a box, filtered and retyped on demand."""
+        rows = self.snapshot(spec)
+        rows = rows.where(F.col(x).between(box[0], box[2]) & F.col(y).between(box[1], box[3])) if box else rows
+        rows = adapt(rows.where(where) if where else rows, schema) if schema else rows.where(where) if where else rows
+        write_files(rows, path, kind)
+
+    def export_diff(self, old: str, new: str, layer: str, path: str, kind: str = "parquet", use_old: bool = False) -> None:
+        """The changed features' new side, or the old one, to files."""
+        changed = self.diff(old, new, layer).select(self.key(layer))
+        write_files(self.snapshot(f"{old if use_old else new}:{layer}").join(changed, self.key(layer), "left_semi"), path, kind)
+
+    def statistics(self) -> dict[str, int]:
+        """Branches, commits, layers and features of the head."""
+        tree = self.tree(HEAD)
+        return {"branches": len(self.branches()), "commits": len(self.meta["commits"]), "layers": len(tree), "features": sum(self.store.count(s) for _, s in tree.values())}
+
     # --- branches, tags, refs, configuration
 
     def create_branch(self, name: str, source: str = HEAD, force: bool = False, orphan: bool = False) -> None:
