@@ -117,15 +117,15 @@ def spans_of(stats: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-def _packed_anchors(window: int, q: int):
-    """Per task and flush: the distinct anchors of each range, and whether two documents have it."""
+def _packed_anchors(window: int, q: int, bits: int):
+    """Per task and flush: the distinct anchors of each of 2**bits ranges, and whether two documents have it."""
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, count = np.unique(np.concatenate(held), return_counts=True)  # each document gave its own once
-        block = (keys >> np.uint64(56)).astype(np.int64)
-        cuts = np.searchsorted(block, np.arange(Filter.BLOCKS + 1))
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
         rows = [(b, keys[lo:hi].tobytes(), np.packbits(count[lo:hi] > 1).tobytes()) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["b", "keys", "twice"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "twice"])
 
     def scan(batches):
         table, held, n = WordHashes(), [], 0
@@ -147,8 +147,8 @@ def _packed_anchors(window: int, q: int):
     return scan
 
 
-def _shared_block(n_bytes: int | None):
-    """Of one range: the anchors that two documents have, as a count or as the filter's block."""
+def _shared(n_bytes: int):
+    """Of one range: the anchors that two documents have, as bits of the filter's block."""
 
     def merge(table: pa.Table) -> pa.Table:
         keys, twice = [], []
@@ -157,13 +157,21 @@ def _shared_block(n_bytes: int | None):
             keys.append(own)
             twice.append(own[np.unpackbits(np.frombuffer(t, dtype=np.uint8))[: len(own)].astype(bool)])
         found, count = np.unique(np.concatenate([*keys, *twice]), return_counts=True)
-        shared = found[count > 1]
-        bits = zlib.compress(Filter.of(shared, n_bytes), 1) if n_bytes else b""
-        return pa.table({"b": table.column("b").slice(0, 1), "n": pa.array([len(shared)], pa.int64()), "bits": pa.array([bits], pa.binary())})
+        block = int(found[0] >> np.uint64(56))
+        return pa.table({"b": pa.array([block], pa.int32()), "bits": pa.array([zlib.compress(Filter.of(found[count > 1], n_bytes), 1)], pa.binary())})
 
     return merge
 
 
+def _block(table: pa.Table) -> pa.Table:
+    """The ranges of one block together."""
+    bits = None
+    for packed in table.column("bits").to_pylist():
+        own = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+        bits = own if bits is None else bits | own
+    return pa.table({"b": table.column("b").slice(0, 1), "bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
+
+
 _PIECE = "anchor long, words binary, first_id long, ids binary, starts binary"
 
 
@@ -293,10 +301,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"a window has {QGRAM} words at least")
     spark = docs.sparkSession
     rows = identified(docs, id_col, text_col)
-    packed = rows.mapInArrow(_packed_anchors(window, QGRAM), "b int, keys binary, twice binary")
-    bits = Filter.block_bytes(1 << 40)
-    found = packed.groupBy("b").applyInArrow(_shared_block(bits), "b int, n long, bits binary")
-    shared = spark.sparkContext.broadcast(Filter.gathered(found.collect(), bits))
+    n_bytes, bits = Filter.block_bytes(1 << 40), max(8, (shuffle_partitions(spark) - 1).bit_length())
+    packed = rows.mapInArrow(_packed_anchors(window, QGRAM, bits), "part int, keys binary, twice binary")
+    found = packed.groupBy("part").applyInArrow(_shared(n_bytes), "b int, bits binary")
+    found = found.groupBy("b").applyInArrow(_block, "b int, bits binary")
+    shared = spark.sparkContext.broadcast(Filter.gathered(found.collect(), n_bytes))
     pieces = rows.mapInArrow(_pieces(shared, window, QGRAM), _PIECE)
     pieces = pieces.repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor")
     marks = pieces.mapInArrow(_marks(window), "doc_id long, begin int, end int")
