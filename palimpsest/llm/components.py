@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import shuffle_partitions, stored
 
 
+#: Up to so many links, which are counted, one task contracts them all.
+ONE_TASK = 500_000
+
+
 def union_find(a: list[int], b: list[int]) -> dict[int, int]:
     """Each node's smallest reachable node."""
     root: dict[int, int] = {}
@@ -38,14 +42,17 @@ def _contracted(batches):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): root is the smallest node that the links (a, b) reach; nodes without links are not listed.
+    """(node, root): root is the smallest node that the links (a, b) reach; roots and nodes without links are not listed.
 
-    Each range of nodes is first contracted within its partition; then links to the smallest neighbour and pointer
+    Up to ``ONE_TASK`` links are contracted in one task. Of more, each range of nodes is first contracted within its
+    partition; then links to the smallest neighbour and pointer
     jumps alternate, in a number of rounds that grows with the logarithm of the longest path left.
     """
     spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).distinct()
     edges = stored(edges, "links")
+    if edges.count() <= ONE_TASK:
+        return stored(edges.coalesce(1).mapInArrow(_contracted, "child long, parent long"), "roots").select(F.col("child").alias("node"), F.col("parent").alias("root"))
     edges = stored(edges.repartitionByRange(shuffle_partitions(spark), "child").mapInArrow(_contracted, "child long, parent long").distinct(), "contracted")
     while True:
         least = edges.groupBy("child").agg(F.min("parent").alias("least"))

@@ -8,10 +8,12 @@ one of the n - ceil(s*n) + 1 rarest of each: DivideSkip's short lists, when the
    orders shingles from rare to frequent; it steers the cost only, any fixed order gives the same links.
 2. The short lists are dealt by shingle range; lists of one document go. In a shard, each query merges its short lists
    up to itself; a candidate must have a size that s allows, and sketches whose differing bits, a lower bound of the
-   sets' symmetric difference, allow it too. Up to ``FEW`` candidates are all kept; of more, the nearest below the
-   query, so that a large group of near copies gives one candidate a query and shard and not all pairs.
-3. Candidates are verified by the query: their inverted lists over the query's shingles are divided again, the short
-   ones heap-merged, the long ones probed by binary search, and those that reach T are links.
+   sets' symmetric difference, allow it too. Up to ``FEW`` candidates are all kept; of more, the one that a hash of the
+   pair puts first, which is mostly the same in each shard, so a large group of near copies gives a few candidates a
+   query and not all pairs.
+3. Candidates are verified by the query, in blocks that each set reaches once: their inverted lists over the query's
+   shingles are divided again, the short ones heap-merged, the long ones probed by binary search, and those that reach
+   T are links.
 4. Links make components. Then, where a query had more than ``FEW`` candidates, all that pass the filters and lie in
    another component are verified too, so no link between components is missed.
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WordHashes, byte_list, identified, mix, real_id, shuffle_partitions, small_enough, stored
+from palimpsest.llm.common import WordHashes, byte_list, identified, mix, real_id, shuffle_partitions, small_enough, stored, word_hashes
 from palimpsest.llm.components import components
 
 COUNTERS, CHUNKS, SKETCH, FEW = 1 << 22, 16, 512, 4
@@ -72,7 +74,7 @@ def _sets(size: int):
     """Per document (doc_id, n, digest, sketch); per task its counters, in chunks."""
 
     def scan(batches):
-        table, total, held, n = WordHashes(), np.zeros(COUNTERS, dtype=np.int64), [], 0
+        table, total, held, n = word_hashes(), np.zeros(COUNTERS, dtype=np.int64), [], 0
 
         def add():
             total[:] += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=COUNTERS)
@@ -121,7 +123,7 @@ def _short_lists(ranks, size: int, percent: int, parts: int):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "tokens", "ids", "sizes"])
 
     def scan(batches):
-        table, held, n = WordHashes(), [], 0
+        table, held, n = word_hashes(), [], 0
         rank = np.zeros(COUNTERS, dtype=np.uint64)
         for chunk, packed in ranks.value.items():
             w = COUNTERS // CHUNKS
@@ -199,7 +201,9 @@ def _candidates(percent: int, all_of_them: bool):
             c = c[differ <= n + m - 2 * -(-percent * (n + m) // (100 + percent))]
             more = len(c) > FEW
             if more and not all_of_them:
-                c = c[-1:]
+                # By a hash of the pair: shards agree on it, and the choices of a group make a tree of small degree.
+                with np.errstate(over="ignore"):
+                    c = c[[mix(ids[c].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[q : q + 1].view(np.uint64)).argmin()]]
             out_a += [ids[q]] * len(c)
             out_b += ids[c].tolist()
             out_more += [more] * len(c)
@@ -242,36 +246,59 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], percent: int) -> li
 
 
 def _verified(percent: int):
-    def check(queries: pa.Table, found: pa.Table) -> pa.Table:
-        if not queries.num_rows or not found.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        query = np.frombuffer(queries.column("query")[0].as_py(), dtype=np.uint64)
-        a, ids = queries.column("a")[0].as_py(), found.column("b").to_pylist()
-        others = [np.frombuffer(t, dtype=np.uint64) for t in found.column("other").to_pylist()]
-        links = []
-        for k in range(0, len(ids), 256):
-            links += [ids[k + c] for c in divide_skip(query, others[k : k + 256], percent)]
-        return pa.table({"a": pa.array([a] * len(links), pa.int64()), "b": pa.array(links, pa.int64())})
+    """Searches of one block: each query's candidates by T-occurrence over the sets that came with the block."""
+
+    def check(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        links_a, links_b = [], []
+        if pairs.num_rows and members.num_rows:
+            ids = members.column("doc_id").to_pylist()
+            sets = {i: np.frombuffer(t, dtype=np.uint64) for i, t in zip(ids, members.column("tokens").to_pylist(), strict=True)}
+            a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
+                query = sets[int(a[lo])]
+                for k in range(lo, hi, 256):
+                    others = b[k : min(hi, k + 256)].tolist()
+                    found = divide_skip(query, [sets[o] for o in others], percent)
+                    links_a += [int(a[lo])] * len(found)
+                    links_b += [others[c] for c in found]
+        return pa.table({"a": pa.array(links_a, pa.int64()), "b": pa.array(links_b, pa.int64())})
 
     return check
 
 
 def _tokens(size: int):
     def scan(batches):
-        table = WordHashes()
+        table = word_hashes()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(table, t, size).tobytes() for t in byte_list(batch.column(1))], pa.binary())], names=["doc_id", "tokens"])
 
     return scan
 
 
+#: Pairs of one candidate component that stay together, and documents of a block, in the mean.
+TOGETHER, BLOCK_DOCS = 100_000, 1000
+
+
 def _links(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    involved = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "involved")
-    sets = stored(rows.join(small_enough(involved), "doc_id", "left_semi").mapInArrow(_tokens(size), "doc_id long, tokens binary"), "sets")
-    found = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("other")), "b").select("a", "b", "other")
-    queries = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("query")).join(small_enough(pairs.select("a").distinct()), "a", "left_semi")
-    return queries.groupBy("a").cogroup(found.groupBy("a")).applyInArrow(_verified(percent), "a long, b long")
+    """The pairs (a, b) that link.
+
+    Pairs are dealt to blocks by the component that they form (a large one by query too), so that a set goes once to
+    a block however many of its pairs are there.
+    """
+    pairs = pairs.join(components(pairs).withColumnRenamed("node", "a"), "a").select("a", "b", "root")
+    parts = pairs.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts")).where("parts > 1")
+    docs = F.explode(F.array("a", "b"))
+    involved = stored(pairs.select(docs.alias("doc_id")).distinct(), "involved")
+    blocks = max(shuffle_partitions(rows.sparkSession), involved.count() // BLOCK_DOCS)
+    dealt = pairs.join(small_enough(parts), "root", "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))), F.lit(blocks)).cast("int").alias("block"))
+    dealt = stored(dealt, "dealt")
+    sets = rows.join(small_enough(involved), "doc_id", "left_semi").mapInArrow(_tokens(size), "doc_id long, tokens binary")
+    members = dealt.select("block", docs.alias("doc_id")).distinct().join(sets, "doc_id").select(F.col("block").alias("at"), "doc_id", "tokens")
+    return dealt.groupBy("block").cogroup(members.groupBy("at")).applyInArrow(_verified(percent), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
