@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,20 +86,24 @@ def byte_list(column: pa.Array) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hash (signed) by word; the memory is bounded."""
+    """64-bit hash by word; the memory is bounded: frequent words come early and stay."""
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        if len(word) < 64:
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.LIMIT and len(word) < 64:
             self[word] = found
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+@cache
+def word_hashes() -> WordHashes:
+    """One table a worker process, kept from task to task."""
+    return WordHashes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

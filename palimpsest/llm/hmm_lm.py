@@ -16,13 +16,13 @@ Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +45,7 @@ class WordCodes(WordHashes):
     """64-bit code by word: 52 bits of hash, then 12 bits that name the tail symbol, from the word's last letters."""
 
     def __missing__(self, word: bytes) -> int:
-        digest = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        code = (digest & ~(TAILS - 1)) | zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % TAILS
+        code = (xxhash.xxh3_64_intdigest(word) - (1 << 63) & ~(TAILS - 1)) | zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % TAILS
         if len(self) < self.LIMIT and len(word) < 64:
             self[word] = code
         return code

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Filter, WordHashes, byte_list, identified, mix, real_id, shuffle_partitions, small_enough, stored
+from palimpsest.llm.common import Filter, byte_list, identified, mix, real_id, shuffle_partitions, small_enough, stored, word_hashes
 
 WINDOW, QGRAM = 13, 5
 FLUSH = 4_000_000
@@ -128,7 +128,7 @@ def _packed_anchors(window: int, q: int, bits: int):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "twice"])
 
     def scan(batches):
-        table, held, n = WordHashes(), [], 0
+        table, held, n = word_hashes(), [], 0
         for batch in batches:
             for text in byte_list(batch.column(1)):
                 words = text.split()
@@ -185,7 +185,7 @@ def _pieces(shared, window: int, q: int, batch_rows: int = 50_000):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["anchor", "words", "first_id", "ids", "starts"])
 
     def scan(batches):
-        table, held = WordHashes(), {}
+        table, held = word_hashes(), {}
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), strict=True):
                 words = text.split()
@@ -213,24 +213,38 @@ def _pieces(shared, window: int, q: int, batch_rows: int = 50_000):
 def _marks(window: int):
     """Streams the pieces, which come sorted by anchor; emits packed (doc_id, begin, end)."""
 
+    def shared_windows(texts: list[list[bytes]]) -> bool:
+        """Whether two stretches may hold the same window; where none do, there is nothing for an automaton to match."""
+        seen: set[int] = set()
+        for words in texts:
+            own = {hash(tuple(words[i : i + window])) for i in range(len(words) - window + 1)}
+            if not seen.isdisjoint(own):
+                return True
+            seen |= own
+        return False
+
     def one(stretches: dict[bytes, list]) -> list:
         out = []
+        for text, (first, ids, starts) in stretches.items():  # copies of a whole stretch
+            if len(ids) > 1 or len(ids[0]) > 1:
+                ids, starts = np.concatenate(ids), np.concatenate(starts).astype(np.int64)
+                rest = ids > first
+                if rest.any():
+                    out.append((ids[rest], starts[rest], starts[rest] + text.count(b" ") + 1))
+        if len(stretches) == 1 or not shared_windows([t.split(b" ") for t in stretches]):
+            return out
         automaton, pending, current = SuffixAutomaton(), [], None
-        alone = len(stretches) == 1
         for text, (first, ids, starts) in sorted(stretches.items(), key=lambda e: (e[1][0], e[0])):
             words = text.split(b" ")
-            ids, starts = np.concatenate(ids), np.concatenate(starts).astype(np.int64)
-            own = ids == first
-            if not own.all():
-                out.append((ids[~own], starts[~own], starts[~own] + len(words)))
-            if alone:
-                break
             if first != current:  # what the same document holds doesn't count against it
                 for p in pending:
                     automaton.extend(p)
                 pending, current = [], first
-            for begin, end in spans_of(automaton.statistics(words), window):
-                out.append((ids[own], starts[own] + begin, starts[own] + end))
+            if spans := spans_of(automaton.statistics(words), window):
+                ids, starts = np.concatenate(ids), np.concatenate(starts).astype(np.int64)
+                own = ids == first
+                for begin, end in spans:
+                    out.append((ids[own], starts[own] + begin, starts[own] + end))
             pending.append(words)
         return out
 
