@@ -88,7 +88,7 @@ def byte_list(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash by word; the memory is bounded: frequent words come early and stay."""
 
-    LIMIT = 800_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)

@@ -279,7 +279,7 @@ def _tokens(size: int):
 
 
 #: Pairs of one candidate component that stay together, and documents of a block, in the mean.
-TOGETHER, BLOCK_DOCS = 100_000, 1000
+TOGETHER, BLOCK_DOCS = 4000, 1000
 
 
 def _links(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
