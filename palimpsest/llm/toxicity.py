@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import byte_list, identified, real_id
 
-EXAMPLES, TERMS, CHI2, K, BLOCK = 4096, 2048, 40.0, 16, 64
+EXAMPLES, TERMS, CHI2, K, BLOCK = 4096, 512, 40.0, 16, 64
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -35,41 +35,39 @@ def words(text: bytes) -> list[bytes]:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of example numbers with each block's largest weight."""
+    """Postings of unit vectors, in blocks of example numbers: a block is a tile (terms it has x ``BLOCK`` examples),
+    and each block's largest weight of every term bounds what the block can score."""
 
     def __init__(self, vectors: list[dict[int, float]]):
-        self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for n, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                lists.setdefault(term, []).append((n, weight))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.most: dict[int, np.ndarray] = {}
-        for term, entries in lists.items():
-            ids, weights = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            begins = np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK)
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, ids // BLOCK, weights)
-            self.postings[term], self.most[term] = (ids, weights, begins), most
+        terms = 1 + max((t for v in vectors for t in v), default=-1)
+        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        self.most = np.zeros((terms, self.blocks))
+        self.tiles: list[np.ndarray] = []
+        self.rows = np.zeros((self.blocks, terms), dtype=np.int32)  # a term's row in the block's tile; row 0 is empty
+        for k in range(self.blocks):
+            part = vectors[k * BLOCK : (k + 1) * BLOCK]
+            here = sorted({t for v in part for t in v})
+            self.rows[k, here] = np.arange(1, len(here) + 1)
+            tile = np.zeros((len(here) + 1, BLOCK))
+            for n, vector in enumerate(part):
+                for term, weight in vector.items():
+                    tile[self.rows[k, term], n] = weight
+            self.most[here, k] = tile[1:].max(axis=1) if here else 0
+            self.tiles.append(tile)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (similarity, example), best first, ties by smaller number; similarities over 0 only."""
-        known = [(t, w) for t, w in sorted(query.items()) if t in self.postings]
-        if not known:
+        known = [t for t in sorted(query) if t < len(self.most)]
+        if not known or not self.blocks:
             return []
-        bound = sum(w * self.most[t] for t, w in known)
+        terms, weights = np.array(known), np.array([query[t] for t in known])
+        bound = weights @ self.most[terms]
         best: list[tuple[float, int]] = []
         for block in np.argsort(-bound, kind="stable"):
             if bound[block] <= 0 or (len(best) >= k and bound[block] < best[-1][0] - 1e-12):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in known:
-                ids, weights, begins = self.postings[t]
-                lo, hi = begins[block], begins[block + 1]
-                score[ids[lo:hi] - block * BLOCK] += w * weights[lo:hi]
-            found = np.flatnonzero(score)
-            best += [(float(score[i]), int(block * BLOCK + i)) for i in found if block * BLOCK + i != without]
+            score = weights @ self.tiles[block][self.rows[block, terms]]
+            best += [(float(score[i]), int(block * BLOCK + i)) for i in np.flatnonzero(score) if block * BLOCK + i != without]
             best.sort(key=lambda e: (-round(e[0], 12), e[1]))
             del best[k:]
         return best
