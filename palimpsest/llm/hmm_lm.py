@@ -6,10 +6,11 @@ Symbols: the ``HEAD`` most frequent training tokens are symbols of their own; ev
 are broadcast have a fixed size, while every token of the corpus is counted and every tail word's own count enters
 the score through a join by word. A text is its words and an end token.
 
-Training: state-by-symbol and state-by-state counts are started from a bounded seed sample (``SEED`` documents, by a
-hash of doc_id; ``WARM`` rounds), then each of ``ROUNDS`` Baum-Welch rounds runs over all training documents: tasks
-compute expected counts by scaled forward and backward recursions and add them up, the sums of the partitions are
-added by chunk, and the new tables are broadcast. The score is the forward recursion's exact likelihood.
+Training: the start is the symbols' counts in all training documents, disturbed at random by state, with states that
+tend to stay; no sample is drawn. Then each of ``ROUNDS`` Baum-Welch rounds runs over every token of all training
+documents: tasks compute expected counts by scaled forward and backward recursions and add them up, the sums of the
+partitions are added by chunk, and the new tables are broadcast. For learning, a text of over ``PIECE`` tokens is
+several sequences. The score is the forward recursion's exact likelihood.
 
 Words are told apart by 64-bit hashes.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import NULL_ID, WordHashes, byte_list, identified, real_id, stored
 
-HEAD, TAILS, STATES, SEED, WARM, ROUNDS = 1 << 15, 1 << 12, 6, 1500, 12, 2
+HEAD, TAILS, STATES, ROUNDS = 1 << 15, 1 << 12, 6, 14
 
 #: The end token's code; no word has it but by a chance of 2**-64.
 END = -0x5EED
@@ -168,12 +169,12 @@ def recursions(tables: Tables, docs: list[np.ndarray], learn: bool):
             symbols[cuts[: len(docs[n])] + row] = docs[n]
         b = emission[symbols] if learn else None
         alpha = np.empty((cuts[-1], k), dtype=kind) if learn else None
-        scale = np.empty(cuts[-1], dtype=kind)
+        scale, ones = np.empty(cuts[-1], dtype=kind), np.ones(k, dtype=kind)
         now = np.broadcast_to(tables.start.astype(kind), (len(group), k))
         for t in range(longest):
             lo, hi = cuts[t], cuts[t + 1]
             now = (now if t == 0 else now[: hi - lo] @ a) * (b[lo:hi] if learn else emission[symbols[lo:hi]])
-            s = now.sum(axis=1)
+            s = now @ ones
             now = now / s[:, None]
             scale[lo:hi] = s
             if learn:
@@ -185,13 +186,16 @@ def recursions(tables: Tables, docs: list[np.ndarray], learn: bool):
             continue
         gamma = alpha  # becomes alpha * beta in place, from the last step back
         beta = np.ones((len(group), k), dtype=np.float32)
+        b /= scale[:, None]
+        steps = np.zeros((k, k))
         for t in range(longest - 2, -1, -1):
             lo, mid, hi = cuts[t], cuts[t + 1], cuts[t + 2]
             n = hi - mid
-            right = b[mid:hi] * beta[:n] / scale[mid:hi, None]
-            move += (alpha[lo : lo + n].T @ right) * a
+            right = b[mid:hi] * beta[:n]
+            steps += alpha[lo : lo + n].T @ right
             beta[:n] = right @ a.T
             gamma[lo : lo + n] *= beta[:n]  # rows that end at t have beta 1
+        move += steps * a
         start += gamma[: alive[0]].sum(axis=0)
         for state in range(k):
             emit[:, state] += np.bincount(symbols, gamma[:, state], minlength=len(emit))
@@ -225,31 +229,11 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.astype("<f8").tobytes()], pa.binary())})
 
 
-def seeded(docs: list[np.ndarray], base: np.ndarray) -> Tables:
-    """Tables of the seed sample: documents start in groups by their commonest shared symbols, then Baum-Welch."""
+def started(base: np.ndarray) -> Tables:
+    """Tables to start from: the symbols' shares, each disturbed by state, which tells the states apart."""
     rng = np.random.default_rng(7)
-    k, symbols = STATES, len(base)
-    emit, move, start = rng.random((symbols, k)) * base[:, None] * 10, np.eye(k) * 20 + 1.0, np.ones(k)
-    if docs:
-        # A short k-means over shares of symbols gives each document a state to start in.
-        common = np.argsort(-base)[:512]
-        place = np.full(symbols, -1)
-        place[common] = np.arange(512)
-        shares = np.zeros((len(docs), 512))
-        for n, d in enumerate(docs):
-            p = place[d]
-            shares[n] = np.sqrt(np.bincount(p[p >= 0], minlength=512) / len(d))
-        centres = shares[rng.choice(len(docs), k, replace=len(docs) < k)]
-        for _ in range(12):
-            own = (shares @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
-            centres = np.stack([shares[own == s].mean(axis=0) if (own == s).any() else shares[rng.integers(len(docs))] for s in range(k)])
-        for d, s in zip(docs, own, strict=True):
-            emit[:, s] += np.bincount(d, minlength=symbols)
-    tables = Tables.of(start, move, emit, base)
-    for _ in range(WARM if docs else 0):
-        _, counts = recursions(tables, docs, True)
-        tables = Tables.of(*counts, base)
-    return tables
+    emit, move = base[:, None] * (0.5 + rng.random((len(base), STATES))), np.eye(STATES) * 20 + 1.0
+    return Tables(np.full(STATES, 1 / STATES), move / move.sum(axis=1, keepdims=True), (emit / emit.sum(axis=0)).astype(np.float32))
 
 
 def _scores(tables):
@@ -304,8 +288,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     encoded = rows.mapInArrow(_encoded(vocabulary), "doc_id long, symbols binary, tails binary, times binary, n_tokens long, n_tail long, head_base double, tail_mass double")
     encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
-    sample = encoded.where(train).select("symbols", F.xxhash64("doc_id").alias("place"), "row").orderBy("place", "row").limit(SEED).select(F.substring("symbols", 1, 8192).alias("symbols"))
-    tables = seeded([np.frombuffer(r["symbols"], dtype="<u2").astype(np.int64) for r in sample.collect()], base)
+    tables = started(base)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(tables)
         added = encoded.where(train).select("symbols").mapInArrow(_expected(shared), "chunk int, counts binary").groupBy("chunk").applyInArrow(_added, "chunk int, counts binary")

@@ -150,6 +150,34 @@ def test_language_model(spark, corpus):
     assert hmm_lm.score(table(spark, [])).count() == 0
 
 
+def test_language_model_learns_from_every_token(spark):
+    """Against Baum-Welch in one place: more documents than a sample would hold, and words after token 4,096."""
+    import numpy as np
+
+    rng = random.Random(9)
+    topics = VOCAB[:10], VOCAB[10:]
+    rows = [(i, " ".join(rng.choice(topics[i % 2]) for _ in range(3))) for i in range(1900)]
+    rows += [(5000 + i, "x " * 4096 + " ".join(rng.choice(topics[n // 40 % 2]) for n in range(2000))) for i in range(6)]
+    got = {r["doc_id"]: r["score"] for r in hmm_lm.score(table(spark, rows)).collect()}
+    words = {i: t.split() for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for i in train for w in words[i])
+    code = {w: int(hmm_lm.word_codes().of([w.encode()])[0]) for w in counts}
+    symbol = {w: n + 1 for n, w in enumerate(sorted(counts, key=lambda w: (-counts[w], code[w])))}
+    base = np.full(hmm_lm.HEAD + hmm_lm.TAILS, 0.5)
+    base[: len(counts) + 1] += [len(train), *(counts[w] for w in symbol)]
+    base[len(counts) + 1 : hmm_lm.HEAD] = 0
+    base /= base.sum()
+    docs = {i: np.array([symbol[w] for w in words[i]] + [0]) for i in words}
+    tables = hmm_lm.started(base)
+    for _ in range(14):
+        _, found = hmm_lm.recursions(tables, [docs[i] for i in train], True)
+        tables = hmm_lm.Tables.of(*found, base)
+    want, _ = hmm_lm.recursions(tables, list(docs.values()), False)
+    for i, w in zip(docs, want, strict=True):
+        assert got[i] == pytest.approx(w / math.log(10), rel=2e-3)
+
+
 def test_forward_recursion_is_exact():
     """Against a plain sum over all state paths."""
     import itertools
