@@ -1,13 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded sample of the labelled training rows (``EXAMPLES`` of each label, by a hash of doc_id). Terms
-are the words whose share of toxic and of other examples differs beyond chance (chi-square over ``CHI2``), at most
-``TERMS`` of them. A text's vector is (1 + ln tf) * idf over those terms; similarity is the exact cosine of two such
+are all words of the examples. A text's vector is (1 + ln tf) * idf * evidence over those terms, where a word's evidence
+is its chi-square against the labels as a part of ``CHI2``, 1 at most; similarity is the exact cosine of two such
 vectors. The inverted index holds, per term, its postings cut into blocks of example numbers, and each block's largest
 weight; a search visits blocks by falling upper bound and ends when no block can beat the ``K``-th best, so it returns
 exactly the nearest examples. They vote with weight 1 / (1 - cosine + 0.1), and a logistic curve fitted on the
 examples' own leave-one-out votes, weighted back to the labels' shares, makes votes into probabilities. A text without
-any of the terms has the share of toxic rows among such examples.
+any word of the examples has the share of toxic rows among such examples.
 
 Scoring is one pass over the texts, with a model of bounded size.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import byte_list, identified, real_id
 
-EXAMPLES, TERMS, CHI2, K, BLOCK = 4096, 512, 40.0, 16, 64
+EXAMPLES, CHI2, K, BLOCK = 4096, 40.0, 16, 64
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -34,42 +34,67 @@ def words(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors, in blocks of example numbers: a block is a tile (terms it has x ``BLOCK`` examples),
-    and each block's largest weight of every term bounds what the block can score."""
+    """Postings of unit vectors by term and example. A run is the postings of one term in one block of ``BLOCK``
+    examples; the runs' largest weights bound what a block can score."""
 
     def __init__(self, vectors: list[dict[int, float]]):
         terms = 1 + max((t for v in vectors for t in v), default=-1)
         self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        self.most = np.zeros((terms, self.blocks))
-        self.tiles: list[np.ndarray] = []
-        self.rows = np.zeros((self.blocks, terms), dtype=np.int32)  # a term's row in the block's tile; row 0 is empty
-        for k in range(self.blocks):
-            part = vectors[k * BLOCK : (k + 1) * BLOCK]
-            here = sorted({t for v in part for t in v})
-            self.rows[k, here] = np.arange(1, len(here) + 1)
-            tile = np.zeros((len(here) + 1, BLOCK))
-            for n, vector in enumerate(part):
-                for term, weight in vector.items():
-                    tile[self.rows[k, term], n] = weight
-            self.most[here, k] = tile[1:].max(axis=1) if here else 0
-            self.tiles.append(tile)
+        sizes = [len(v) for v in vectors]
+        term = np.fromiter((t for v in vectors for t in v), dtype=np.int64, count=sum(sizes))
+        weight = np.fromiter((w for v in vectors for w in v.values()), dtype=np.float64, count=sum(sizes))
+        example = np.repeat(np.arange(len(vectors)), sizes)
+        order = np.lexsort((example, term))
+        run = term[order] * max(1, self.blocks) + example[order] // BLOCK
+        begin = np.flatnonzero(np.diff(run, prepend=-1))
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        self.begin = np.append(begin, len(run)).astype(np.int32)
+        self.block = (run[begin] % max(1, self.blocks)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.first = np.searchsorted(run[begin], np.arange(terms + 1) * max(1, self.blocks)).astype(np.int32)  # a term's runs
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (similarity, example), best first, ties by smaller number; similarities over 0 only."""
-        known = [t for t in sorted(query) if t < len(self.most)]
+        known = [t for t in sorted(query) if t < len(self.first) - 1]
         if not known or not self.blocks:
             return []
-        terms, weights = np.array(known), np.array([query[t] for t in known])
-        bound = weights @ self.most[terms]
+        terms = np.array(known)
+        n = self.first[terms + 1] - self.first[terms]
+        runs, weights = ranges(self.first[terms], n), np.repeat([query[t] for t in known], n)
+        block = self.block[runs]
+        bound = np.bincount(block, weights * self.most[runs], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) >= k and bound[block] < best[-1][0] - 1e-12):
+        done, step = 0, 4
+        while done < self.blocks:
+            least = best[-1][0] - 1e-12 if len(best) >= k else 0.0
+            visit = order[done : done + step]
+            visit = visit[(bound[visit] > 0) & (bound[visit] >= least)]
+            if not len(visit):
                 break
-            score = weights @ self.tiles[block][self.rows[block, terms]]
-            best += [(float(score[i]), int(block * BLOCK + i)) for i in np.flatnonzero(score) if block * BLOCK + i != without]
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[visit] = True
+            here = chosen[block]
+            r = runs[here]
+            n = self.begin[r + 1] - self.begin[r]
+            at = ranges(self.begin[r], n)
+            score = np.bincount(self.example[at], np.repeat(weights[here], n) * self.weight[at], minlength=self.size)
+            if 0 <= without < self.size:
+                score[without] = 0
+            found = np.flatnonzero(score > max(0.0, least))
+            if len(found) > k:
+                found = found[score[found] >= np.partition(score[found], -k)[-k] - 1e-11]
+            best += [(float(score[i]), int(i)) for i in found]
             best.sort(key=lambda e: (-round(e[0], 12), e[1]))
             del best[k:]
+            done, step = done + step, step * 4
         return best
 
 
@@ -98,18 +123,15 @@ class Model:
         """examples: (doc_id, label, words and counts); toxic_share: of all labelled training rows."""
         n = {y: sum(e[1] == y for e in examples) for y in (0, 1)}
         seen = {y: Counter(w for e in examples if e[1] == y for w in e[2]) for y in (0, 1)}
-        scored = []
-        for word in seen[0].keys() | seen[1].keys():
+        chosen = sorted(seen[0].keys() | seen[1].keys())
+        self.term = {word: t for t, word in enumerate(chosen)}
+        self.weight = []
+        for word in chosen:
             a, b = seen[1][word], seen[0][word]
             c, d = n[1] - a, n[0] - b
             total = (a + b) * (c + d) * n[1] * n[0]
             chi2 = (a * d - b * c) ** 2 * (n[0] + n[1]) / total if total else 0.0
-            if chi2 >= CHI2:
-                scored.append((-chi2, word))
-        chosen = sorted(word for _, word in sorted(scored)[:TERMS])
-        self.term = {word: t for t, word in enumerate(chosen)}
-        self.names = frozenset(chosen)
-        self.idf = [math.log((1 + len(examples)) / (1 + seen[0][w] + seen[1][w])) + 1 for w in chosen]
+            self.weight.append((math.log((1 + len(examples)) / (1 + a + b)) + 1) * min(1.0, chi2 / CHI2))
         vectors = [self.vector(e[2]) for e in examples]
         self.index = BlockMaxIndex(vectors)
         self.ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
@@ -123,7 +145,6 @@ class Model:
         y = np.array([y for _, y in own], dtype=float)
         w = np.array([weight[int(k)] for k in y]) * len(examples)
         self.curve = fitted_logistic(x, y, w) if len(own) > 1 else (1.0, 0.0)
-        self.memo: dict[tuple, tuple[float, list]] = {}
 
     @staticmethod
     def logit(p: float) -> float:
@@ -131,24 +152,22 @@ class Model:
         return math.log(p / (1 - p))
 
     def vector(self, counts: Counter) -> dict[int, float]:
-        raw = {self.term[w]: (1 + math.log(c)) * self.idf[self.term[w]] for w, c in counts.items() if w in self.names}
+        raw = {}
+        for word, count in counts.items():
+            t = self.term.get(word)
+            if t is not None and self.weight[t]:
+                raw[t] = (1 + math.log(count)) * self.weight[t]
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {t: x / norm for t, x in raw.items()}
 
     def score(self, text: bytes) -> tuple[float, list[tuple[float, int]]]:
         """The probability and the nearest examples as (similarity, doc_id)."""
-        found = words(text)
-        if self.names.isdisjoint(found):
+        vector = self.vector(Counter(words(text)))
+        if not vector:
             return self.without, []
-        counts = Counter(w for w in found if w in self.names)
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            near = self.index.nearest(self.vector(counts), K)
-            x = self.curve[0] * self.logit(vote(near, self.labels, self.share)) + self.curve[1]
-            self.memo[key] = (1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [(s, self.ids[n]) for s, n in near[:3]])
-        return self.memo[key]
+        near = self.index.nearest(vector, K)
+        x = self.curve[0] * self.logit(vote(near, self.labels, self.share)) + self.curve[1]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [(s, self.ids[n]) for s, n in near[:3]]
 
 
 def held_out(column: str = "doc_id"):

@@ -237,6 +237,22 @@ def test_toxicity(spark):
     assert toxicity.score(table(spark, rows[:5]), marks.limit(0)).count() == 5
 
 
+def test_toxicity_on_a_small_table(spark):
+    """Few labels, so that no single word is strong evidence: most toxic documents are found all the same."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, marks).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in marks.collect() if r["doc_id"] in got and r["toxic"] is not None}
+    assert sum(got[i] for i, y in labels.items() if y > 0) >= 7
+    assert sum(got[i] for i, y in labels.items() if y == 0) <= 4
+
+
+def test_toxicity_indexes_every_word():
+    rng = random.Random(2)
+    examples = [(i, i % 2, Counter([b"x%d" % rng.randrange(900) for _ in range(30)])) for i in range(200)]
+    model = toxicity.Model(examples, 0.5)
+    assert set(model.term) == {w for _, _, c in examples for w in c} and len(model.term) > 512
+
+
 def brute_substrings(rows, window):
     first, words = {}, {i: (t or "").encode().split() for i, t in rows}
     for i, w in words.items():
