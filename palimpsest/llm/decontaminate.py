@@ -8,7 +8,7 @@ table, all candidates of a batch at once. Texts and items are compared lower-cas
 space.
 
 One pass over the texts, no shuffle. The windows are broadcast in blocks of at most ``BLOCK_WINDOWS``; a larger
-benchmark takes more passes, whose results are joined by document.
+benchmark takes more passes, each of which adds its regions to the row.
 """
 
 from __future__ import annotations
@@ -209,21 +209,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hold nothing; a null doc_id comes back as null; repeated rows are searched each; an empty table gives no rows;
     other columns are not looked at.
     """
-    parts = []
+    out = identified(docs).withColumn("regions", F.array().cast(_SPANS))
     for patterns in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
         def scan(batches, shared=shared):
             for batch in batches:
-                found = spans(shared.value, batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "regions"])
-
-        parts.append(identified(docs).mapInArrow(scan, f"doc_id long, regions {_SPANS}"))
-    out = parts[0]
-    if len(parts) > 1:
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("doc_id").agg(F.flatten(F.collect_list("regions")).alias("regions"))
+                found = [r + f for r, f in zip(batch.column(2).to_pylist(), spans(shared.value, batch.column(1).to_pylist()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "text", "regions"])
+
+        out = out.mapInArrow(scan, f"doc_id long, text string, regions {_SPANS}")
     items = F.array_sort(F.array_distinct(F.transform("regions", lambda r: r["item_id"])))
     return out.select(real_id("doc_id"), (F.size("regions") > 0).alias("contaminated"), items.alias("item_ids"), "regions")
 

@@ -440,3 +440,16 @@ def test_decontaminate(spark):
     assert all(not got[1000 + i] for i, _ in ODD)
     left = decontaminate.without_contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert {r["doc_id"] for r in left.collect()} == {i for i, _ in docs if not got[i]}
+
+
+def test_decontaminate_in_blocks(spark, monkeypatch):
+    """Rows that repeat a doc_id or have none are searched each, whatever the benchmark's size."""
+    rng = random.Random(4)
+    items = [(n, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(20))) for n in range(3)]
+    rows = [(1, items[0][1]), (1, items[0][1]), (None, items[1][1]), (None, items[2][1]), (None, "clean"), (2, items[0][1] + " " + items[2][1])]
+    marks = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for windows in (100_000, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", windows)
+        got.append(sorted((r["doc_id"] or 0, r["item_ids"], sorted(x["item_id"] for x in r["regions"])) for r in decontaminate.contamination(table(spark, rows), marks).collect()))
+    assert got[0] == got[1] == [(0, [], []), (0, [1], [1]), (0, [2], [2]), (1, [0], [0]), (1, [0], [0]), (2, [0, 2], [0, 2])]
