@@ -208,9 +208,12 @@ def _by_bytes(everyone: DataFrame, verified: DataFrame, found: DataFrame) -> Dat
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that stay: one of each text. Rows without doc_id stay."""
-    found = stored(exact_dedup(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col), (F.col("doc_id") == F.col("keep_id")).alias("again")), "copies")
-    out = docs.join(small_enough(found.where("not again").select(id_col).distinct()), id_col, "left_anti").select(docs.columns)
+    found = exact_dedup(docs, id_col, text_col).where("not kept and doc_id is not null")
+    found = stored(found.select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__palimpsest_key"), (F.col("doc_id") == F.col("keep_id")).alias("again")), "copies")
+    away = small_enough(found.where("not again").select(id_col, "__palimpsest_key").distinct())
+    out = docs.withColumn("__palimpsest_key", F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
+    out = out.join(away, [id_col, "__palimpsest_key"], "left_anti").select(*docs.columns, "__palimpsest_key")
     if found.where("again").limit(1).count():
-        key = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-        out = out.withColumn("__palimpsest_key", key).dropDuplicates([id_col, "__palimpsest_key"]).drop("__palimpsest_key")
-    return out
+        named = F.col(id_col).isNotNull()
+        out = out.where(named).dropDuplicates([id_col, "__palimpsest_key"]).unionByName(out.where(~named))
+    return out.select(docs.columns)

@@ -453,3 +453,10 @@ def test_decontaminate_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", windows)
         got.append(sorted((r["doc_id"] or 0, r["item_ids"], sorted(x["item_id"] for x in r["regions"])) for r in decontaminate.contamination(table(spark, rows), marks).collect()))
     assert got[0] == got[1] == [(0, [], []), (0, [1], [1]), (0, [2], [2]), (1, [0], [0]), (1, [0], [0]), (2, [0, 2], [0, 2])]
+
+
+def test_without_copies_looks_at_the_text(spark):
+    """A doc_id with several texts loses only the text that is a copy."""
+    rows = [(3, "A a"), (5, "A  a"), (5, "B"), (5, "B"), (7, "B"), (None, "A a"), (None, "A a"), (None, None)]
+    got = exact_dedup.without_copies(table(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (0, "A a"), (0, "A a"), (3, "A a"), (5, "B")]
