@@ -36,3 +36,16 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["features_added", "features_changed", "features_removed"]
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_hash_bucket_rows(spark):
+    """Rows by bucket, against XXH64 of each key outside Spark."""
+    from collections import Counter
+
+    import xxhash
+
+    keys = [r["fid"] for r in catalog.base(spark, SF).select("fid").collect()]
+    hashes = (xxhash.xxh64_intdigest(str(k), seed=42) for k in keys)
+    want = Counter((h - (1 << 64) if h >> 63 else h) % 64 for h in hashes)
+    got = {r["b"]: r["n"] for r in catalog.QUERIES["hash_bucket_rows"](spark, SF).collect()}
+    assert got == want and len(got) == 64
