@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows of ``WINDOW`` characters (a shorter item is one window). A text holds
+Benchmark items are cut into their windows of ``WINDOW`` characters, one from each position (a shorter item is one
+window; one under ``LEAST`` characters is only searched for as it is, not inside a longer word). A text holds
 a window within k edits only if, around one diagonal, it shares at least m - q + 1 - k * q of the window's q-grams.
 Shared q-grams are counted per (document, window, band) in diagonal bands that overlap by half, so that every stretch
 of k + 1 neighbouring diagonals lies in one band; bands that reach the bound are aligned by a banded edit-distance
@@ -13,6 +14,8 @@ benchmark takes more passes, each of which adds its regions to the row.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +23,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import identified, real_id
 
-Q, WINDOW, STRIDE, RATE, LEAST = 8, 96, 32, 0.1, 32
+Q, WINDOW, STRIDE, RATE, LEAST = 8, 96, 1, 0.1, 32
 BLOCK_WINDOWS = 100_000
 
+#: Letters and digits of scripts that part words by spaces.
+_LETTER = r"[^\W_\u2e80-\U0010ffff]"
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,9 +61,14 @@ class Patterns:
         self.item: list[int] = []
         self.codes: list[np.ndarray] = []
         self.at: list[int] = []
+        self.short: list[tuple[int, re.Pattern, str]] = []
         for item, text in items:
-            codes = code_points(normal(text))
+            said = normal(text)
+            codes = code_points(said)
             if len(codes) < LEAST:
+                if said:
+                    before, after = (f"(?{side}!{_LETTER})" if re.match(_LETTER, edge) else "" for side, edge in (("<", said[0]), ("", said[-1])))
+                    self.short.append((item, re.compile(before + re.escape(said) + after), said))
                 continue
             for begin in sorted({*range(0, max(1, len(codes) - WINDOW + 1), STRIDE), max(0, len(codes) - WINDOW)}):
                 self.item.append(item)
@@ -73,7 +84,7 @@ class Patterns:
         place = np.concatenate([np.arange(len(g)) for g in all_grams]) if all_grams else np.zeros(0, dtype=np.int64)
         order = np.argsort(flat, kind="stable")
         self.gram, first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.first, self.owner, self.place = first, owner[order], place[order]
+        self.first, self.owner, self.place = first, owner[order].astype(np.int32), place[order].astype(np.int16)
         self.table = np.zeros(1 << 22, dtype=bool)
         self.table[(self.gram >> np.uint64(42)).astype(np.int64)] = True
 
@@ -177,7 +188,7 @@ def _merged(found: list[tuple[int, int, int, int]]) -> list[dict]:
 
 
 #: Texts are searched in groups of about so many characters, which bounds the arrays whatever a batch holds.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 60_000
 
 
 def spans(patterns: Patterns, texts: list[str]) -> list[list[dict]]:
@@ -190,6 +201,11 @@ def spans(patterns: Patterns, texts: list[str]) -> list[list[dict]]:
         if patterns.codes:
             for n, item, begin, end, edits in find(patterns, group):
                 own[n].append((item, begin, end, edits))
+        if patterns.short:
+            for n, text in enumerate(map(normal, group)):
+                for item, exact, said in patterns.short:
+                    if said in text:
+                        own[n] += [(item, m.start(), m.end(), 0) for m in exact.finditer(text)]
         out.extend(_merged(f) for f in own)
 
     for text in texts:
@@ -205,8 +221,8 @@ def spans(patterns: Patterns, texts: list[str]) -> list[list[dict]]:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids, regions (item_id, begin, end, edits).
 
-    Positions are in the normalised text. Items under ``LEAST`` characters are not searched for. Null and empty texts
-    hold nothing; a null doc_id comes back as null; repeated rows are searched each; an empty table gives no rows;
+    Positions are in the normalised text. Items under ``LEAST`` characters are found without edits only. Null and empty
+    texts hold nothing; a null doc_id comes back as null; repeated rows are searched each; an empty table gives no rows;
     other columns are not looked at.
     """
     out = identified(docs).withColumn("regions", F.array().cast(_SPANS))

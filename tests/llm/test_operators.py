@@ -460,3 +460,15 @@ def test_without_copies_looks_at_the_text(spark):
     rows = [(3, "A a"), (5, "A  a"), (5, "B"), (5, "B"), (7, "B"), (None, "A a"), (None, "A a"), (None, None)]
     got = exact_dedup.without_copies(table(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (0, "A a"), (0, "A a"), (3, "A a"), (5, "B")]
+
+
+def test_decontaminate_excerpts_and_short_items(spark):
+    """Exact excerpts of a longer item at any place in it, and items too short for windows."""
+    rng = random.Random(6)
+    item = "".join(rng.choice("abcdefghij") for _ in range(400))
+    items = [(1, item), (2, "Nine lives"), (3, "short"), (4, " "), (5, "短い文"), (6, "c++")]
+    rows = [(n, "zzz " + item[n : n + 88] + " zzz") for n in range(0, 312, 3)]
+    rows += [(1000, "a cat has nine\n lives."), (1001, "shorter nine livesaver"), (1002, "SHORT"), (1003, "この短い文を"), (1004, "in c++ or"), (1005, "in abc++"), (1006, None)]
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(got[n] == [1] for n in range(0, 312, 3))
+    assert [got[n] for n in range(1000, 1007)] == [[2], [], [3], [5], [6], [], []]
