@@ -106,6 +106,85 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
+_LOWER = bytes(range(256)).lower()
+
+#: Bytes that are part of words, where words are what ASCII white space parts.
+NOT_SPACE = np.ones(256, dtype=bool)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+
+#: Texts are split in stretches of about so many bytes, which bounds the arrays; groups of texts are as long.
+STRETCH = 1 << 20
+
+
+@cache
+def _byte_codes() -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+@cache
+def _place_codes(n: int) -> np.ndarray:
+    return mix(np.arange(n, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def groups_of(texts: list[bytes], size: int = STRETCH):
+    """(begin, end) of runs of texts of about ``size`` bytes together; a longer text is a run of its own."""
+    begin, held = 0, 0
+    for n, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield begin, n
+            begin, held = n, 0
+        held += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def _stretches(data: bytes, word: np.ndarray):
+    """(begin, end) of pieces of about ``STRETCH`` bytes that part no word."""
+    at = 0
+    while at < len(data):
+        end, step = min(len(data), at + STRETCH), 4096
+        while end < len(data) and word[data[end - 1]]:  # on to the end of the word
+            ahead = np.flatnonzero(~word[np.frombuffer(data, dtype=np.uint8, count=min(step, len(data) - end), offset=end)])
+            end, step = (end + int(ahead[0]) + 1, 0) if len(ahead) else (min(len(data), end + step), step * 2)
+        yield at, end
+        at = end
+
+
+def split_words(texts: list[bytes], lower: bool = True, word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, cuts): a 64-bit hash of each word of each text, in order; words cuts[n] to cuts[n + 1] are of text n.
+
+    Words are runs of the bytes that ``word`` marks; ``lower`` lower-cases A-Z first. A word's hash is the sum, over its
+    bytes, of the byte's code times the place's code, spread at the end.
+    """
+    data = b" ".join(texts) + b" "
+    if lower:
+        data = data.translate(_LOWER)
+    hashes, begins = [], []
+    codes = _byte_codes()
+    for at, end in _stretches(data, word):
+        part = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+        inside = word[part]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edge = np.concatenate([[0], edge])
+        if len(edge) & 1:
+            edge = np.append(edge, len(part))
+        begin, size = edge[::2], edge[1::2] - edge[::2]
+        if not len(begin):
+            continue
+        first = np.cumsum(size) - size
+        place = np.arange(first[-1] + size[-1], dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+        longest = 1 << int(size.max()).bit_length()
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(codes[part[inside]] * _place_codes(longest)[place], first)
+            hashes.append(mix(sums + size.astype(np.uint64)))
+        begins.append(begin + at)
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), np.concatenate([[0], ends]))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift), to spread bits."""
     with np.errstate(over="ignore"):

@@ -4,34 +4,41 @@ Examples are a bounded sample of the labelled training rows (``EXAMPLES`` of eac
 are all words of the examples. A text's vector is (1 + ln tf) * idf * evidence over those terms, where a word's evidence
 is its chi-square against the labels as a part of ``CHI2``, 1 at most; similarity is the exact cosine of two such
 vectors. The inverted index holds, per term, its postings cut into blocks of example numbers, and each block's largest
-weight; a search visits blocks by falling upper bound and ends when no block can beat the ``K``-th best, so it returns
-exactly the nearest examples. They vote with weight 1 / (1 - cosine + 0.1), and a logistic curve fitted on the
-examples' own leave-one-out votes, weighted back to the labels' shares, makes votes into probabilities. A text without
-any word of the examples has the share of toxic rows among such examples.
+weight; lists that reach nearly every block are held as rows. A search adds up the rows, then visits the blocks whose
+upper bound reaches the ``K``-th best so far, so it returns exactly the nearest examples; examples are numbered by their
+most frequent word and length, which keeps those of one language in the same blocks. The nearest vote with weight 1 / (1 - cosine + 0.1), and a logistic
+curve fitted on the examples' own leave-one-out votes, which tasks search for, weighted back to the labels' shares,
+makes votes into probabilities. A text without any word of the examples has the share of toxic rows among such examples.
 
-Scoring is one pass over the texts, with a model of bounded size.
+Scoring is one pass over the texts, with a model of bounded size. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_list, identified, real_id
+from palimpsest.llm.common import byte_list, groups_of, identified, real_id, shuffle_partitions, split_words
 
 EXAMPLES, CHI2, K, BLOCK = 4096, 40.0, 16, 64
 
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
+#: Bytes of words: letters, and all bytes of other scripts.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[ord("a") : ord("z") + 1] = True
+LETTERS[0x80:] = True
 
 
-def words(text: bytes) -> list[bytes]:
-    return _WORD.findall(text.lower())
+def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, word hash, count), in order of text and hash."""
+    h, cuts = split_words(texts, word=LETTERS)
+    kinds, which = np.unique(h, return_inverse=True)
+    key, n = np.unique(np.repeat(np.arange(len(texts)), np.diff(cuts)) * max(1, len(kinds)) + which, return_counts=True)
+    owner, which = np.divmod(key, max(1, len(kinds)))
+    return owner, kinds[which], n
 
 
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -42,65 +49,64 @@ def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 class BlockMaxIndex:
     """Postings of unit vectors by term and example. A run is the postings of one term in one block of ``BLOCK``
-    examples; the runs' largest weights bound what a block can score."""
-
-    def __init__(self, vectors: list[dict[int, float]]):
-        terms = 1 + max((t for v in vectors for t in v), default=-1)
-        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        sizes = [len(v) for v in vectors]
-        term = np.fromiter((t for v in vectors for t in v), dtype=np.int64, count=sum(sizes))
-        weight = np.fromiter((w for v in vectors for w in v.values()), dtype=np.float64, count=sum(sizes))
-        example = np.repeat(np.arange(len(vectors)), sizes)
+    examples; the runs' largest weights bound what a block can score. Lists that hold an eighth of all examples or
+    more reach every block and are kept as rows instead, a weight for each example, which are added up whole."""
+
+    def __init__(self, size: int, terms: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.size, self.blocks = size, max(1, -(-size // BLOCK))
+        often = np.flatnonzero(8 * np.bincount(term, minlength=terms) >= max(8, size))
+        self.row = np.full(terms, -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.blocks * BLOCK))
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], example[dense]] = weight[dense]
+        example, term, weight = example[~dense], term[~dense], weight[~dense]
         order = np.lexsort((example, term))
-        run = term[order] * max(1, self.blocks) + example[order] // BLOCK
+        run = term[order] * self.blocks + example[order] // BLOCK
         begin = np.flatnonzero(np.diff(run, prepend=-1))
-        self.example, self.weight = example[order].astype(np.int32), weight[order]
-        self.begin = np.append(begin, len(run)).astype(np.int32)
-        self.block = (run[begin] % max(1, self.blocks)).astype(np.int32)
+        self.example, self.weight = example[order], weight[order]
+        self.begin = np.append(begin, len(run))
+        self.block = run[begin] % self.blocks
         self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
-        self.first = np.searchsorted(run[begin], np.arange(terms + 1) * max(1, self.blocks)).astype(np.int32)  # a term's runs
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k best (similarity, example), best first, ties by smaller number; similarities over 0 only."""
-        known = [t for t in sorted(query) if t < len(self.first) - 1]
-        if not known or not self.blocks:
-            return []
-        terms = np.array(known)
+        self.first = np.searchsorted(run[begin], np.arange(terms + 1) * self.blocks)  # a term's runs
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(similarities, examples) of the k best, best first, ties by smaller number; similarities over 0 only.
+
+        The query is its terms, rising, and their weights.
+        """
+        row = self.row[terms]
+        dense = row >= 0
+        score = weights[dense] @ self.rows[row[dense]]
+        if without >= 0:
+            score[without] = 0
+        terms, weights = terms[~dense], weights[~dense]
         n = self.first[terms + 1] - self.first[terms]
-        runs, weights = ranges(self.first[terms], n), np.repeat([query[t] for t in known], n)
+        runs, weight = ranges(self.first[terms], n), np.repeat(weights, n)
         block = self.block[runs]
-        bound = np.bincount(block, weights * self.most[runs], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        done, step = 0, 4
-        while done < self.blocks:
-            least = best[-1][0] - 1e-12 if len(best) >= k else 0.0
-            visit = order[done : done + step]
-            visit = visit[(bound[visit] > 0) & (bound[visit] >= least)]
-            if not len(visit):
-                break
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[visit] = True
-            here = chosen[block]
-            r = runs[here]
-            n = self.begin[r + 1] - self.begin[r]
-            at = ranges(self.begin[r], n)
-            score = np.bincount(self.example[at], np.repeat(weights[here], n) * self.weight[at], minlength=self.size)
-            if 0 <= without < self.size:
-                score[without] = 0
-            found = np.flatnonzero(score > max(0.0, least))
-            if len(found) > k:
-                found = found[score[found] >= np.partition(score[found], -k)[-k] - 1e-11]
-            best += [(float(score[i]), int(i)) for i in found]
-            best.sort(key=lambda e: (-round(e[0], 12), e[1]))
-            del best[k:]
-            done, step = done + step, step * 4
-        return best
-
-
-def vote(near: list[tuple[float, int]], labels: list[int], prior: float) -> float:
-    weights = [1 / (1.1 - min(1.0, s)) for s, _ in near]
-    return (sum(w * labels[n] for w, (_, n) in zip(weights, near, strict=True)) + prior) / (sum(weights) + 1)
+        # What the rows give is a lower bound of a score; with the runs' largest weights, an upper bound of a block's.
+        least = np.partition(score, -k)[-k] if self.size >= k else 0.0
+        bound = np.bincount(block, weight * self.most[runs], minlength=self.blocks)
+        chosen = bound + score.reshape(self.blocks, BLOCK).max(axis=1) >= least - 1e-12
+        here = chosen[block]
+        runs, weight = runs[here], weight[here]
+        begin = self.begin[runs]
+        n = self.begin[runs + 1] - begin
+        at = ranges(begin, n)
+        score += np.bincount(self.example[at], np.repeat(weight, n) * self.weight[at], minlength=len(score))
+        if without >= 0:
+            score[without] = 0
+        found = np.flatnonzero((score > 0) & (score >= least - 1e-11))
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k] - 1e-11]
+        found = found[np.lexsort((found, -np.round(score[found], 12)))][:k]
+        return score[found], found
+
+
+def vote(near: np.ndarray, labels: np.ndarray, prior: float) -> float:
+    """The share of toxic votes; near: similarities, labels: of the same examples."""
+    weights = 1 / (1.1 - np.minimum(1.0, near))
+    return float((weights @ labels + prior) / (weights.sum() + 1))
 
 
 def fitted_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -116,58 +122,93 @@ def fitted_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float,
     return float(a[0]), float(a[1])
 
 
+def logit(p: float) -> float:
+    p = min(1 - 1e-6, max(1e-6, p))
+    return math.log(p / (1 - p))
+
+
 class Model:
-    """Terms, index, labels and the calibration."""
-
-    def __init__(self, examples: list[tuple[int, int, Counter]], toxic_share: float):
-        """examples: (doc_id, label, words and counts); toxic_share: of all labelled training rows."""
-        n = {y: sum(e[1] == y for e in examples) for y in (0, 1)}
-        seen = {y: Counter(w for e in examples if e[1] == y for w in e[2]) for y in (0, 1)}
-        chosen = sorted(seen[0].keys() | seen[1].keys())
-        self.term = {word: t for t, word in enumerate(chosen)}
-        self.weight = []
-        for word in chosen:
-            a, b = seen[1][word], seen[0][word]
-            c, d = n[1] - a, n[0] - b
-            total = (a + b) * (c + d) * n[1] * n[0]
-            chi2 = (a * d - b * c) ** 2 * (n[0] + n[1]) / total if total else 0.0
-            self.weight.append((math.log((1 + len(examples)) / (1 + a + b)) + 1) * min(1.0, chi2 / CHI2))
-        vectors = [self.vector(e[2]) for e in examples]
-        self.index = BlockMaxIndex(vectors)
-        self.ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
-        self.share = toxic_share
-        weight = {1: toxic_share / max(1, n[1]), 0: (1 - toxic_share) / max(1, n[0])}
-        none = [weight[y] * y for v, y in zip(vectors, self.labels, strict=True) if not v]
-        rest = [weight[y] for v, y in zip(vectors, self.labels, strict=True) if not v]
-        self.without = (sum(none) + 1e-4 * toxic_share) / (sum(rest) + 1e-4) if examples else toxic_share
-        own = [(vote(self.index.nearest(v, K, i), self.labels, toxic_share), y) for i, (v, y) in enumerate(zip(vectors, self.labels, strict=True)) if v]
-        x = np.array([self.logit(p) for p, _ in own])
-        y = np.array([y for _, y in own], dtype=float)
-        w = np.array([weight[int(k)] for k in y]) * len(examples)
-        self.curve = fitted_logistic(x, y, w) if len(own) > 1 else (1.0, 0.0)
+    """Terms, index, labels and the calibration, which is set once the examples' own votes are known."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, words: np.ndarray, counts: np.ndarray, toxic_share: float):
+        """Example number, word hash and count of each word of each example; toxic_share: of all labelled training rows."""
+        order = self._order(len(ids), example, words, counts)
+        self.ids, self.labels, self.share = ids[order], labels[order], toxic_share
+        example = np.argsort(order, kind="stable")[example]
+        self.keys, term = np.unique(words, return_inverse=True)
+        n = [int(np.sum(labels == y)) for y in (0, 1)]
+        a, b = (np.bincount(term, self.labels[example] == y, minlength=len(self.keys)) for y in (1, 0))
+        c, d = n[1] - a, n[0] - b
+        total = (a + b) * (c + d) * n[1] * n[0]
+        chi2 = (a * d - b * c) ** 2 * (n[0] + n[1]) / np.where(total > 0, total, 1) * (total > 0)
+        self.weight = (np.log((1 + len(ids)) / (1 + a + b)) + 1) * np.minimum(1.0, chi2 / CHI2)
+        by = np.lexsort((term, example))
+        owner, at, weight = self._vectors(len(ids), example[by], term[by], counts[by])
+        self.index = BlockMaxIndex(len(ids), len(self.keys), owner, at, weight)
+        self.cuts, self.at, self.unit = np.searchsorted(owner, np.arange(len(ids) + 1)), at, weight
+        self.by_label = np.array([(1 - toxic_share) / max(1, n[0]), toxic_share / max(1, n[1])])
+        bare = self.labels[np.diff(self.cuts) == 0]
+        self.without = (self.by_label[1] * np.sum(bare) + 1e-4 * toxic_share) / (self.by_label[bare].sum() + 1e-4) if len(ids) else toxic_share
+        self.curve = (1.0, 0.0)
 
     @staticmethod
-    def logit(p: float) -> float:
-        p = min(1 - 1e-6, max(1e-6, p))
-        return math.log(p / (1 - p))
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        raw = {}
-        for word, count in counts.items():
-            t = self.term.get(word)
-            if t is not None and self.weight[t]:
-                raw[t] = (1 + math.log(count)) * self.weight[t]
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in raw.items()}
-
-    def score(self, text: bytes) -> tuple[float, list[tuple[float, int]]]:
-        """The probability and the nearest examples as (similarity, doc_id)."""
-        vector = self.vector(Counter(words(text)))
-        if not vector:
-            return self.without, []
-        near = self.index.nearest(vector, K)
-        x = self.curve[0] * self.logit(vote(near, self.labels, self.share)) + self.curve[1]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [(s, self.ids[n]) for s, n in near[:3]]
+    def _order(n: int, example: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Examples by their most frequent word and their length."""
+        by = np.lexsort((words, -counts, example))
+        first = by[np.flatnonzero(np.diff(example[by], prepend=-1))]
+        lead = np.zeros(n, dtype=np.uint64)
+        lead[example[first]] = words[first]
+        return np.lexsort((np.arange(n), np.bincount(example, counts, minlength=n), lead))
+
+    def _vectors(self, n: int, owner: np.ndarray, term: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors as (owner, term, weight); owners and, within them, terms rise."""
+        weight = (1 + np.log(counts)) * self.weight[term]
+        real = weight > 0
+        owner, term, weight = owner[real], term[real], weight[real]
+        norm = np.sqrt(np.bincount(owner, weight * weight, minlength=n))
+        return owner, term, weight / norm[owner]
+
+    def own_votes(self, numbers: np.ndarray) -> list[float | None]:
+        """Leave-one-out votes of examples; None for one without a vector."""
+        out: list[float | None] = []
+        for i in numbers:
+            a, b = self.cuts[i], self.cuts[i + 1]
+            if a < b:
+                near, who = self.index.nearest(self.at[a:b], self.unit[a:b], K, int(i))
+                out.append(vote(near, self.labels[who], self.share))
+            else:
+                out.append(None)
+        return out
+
+    def calibrate(self, votes: dict[int, float]) -> None:
+        """Fits the curve on the examples' own votes."""
+        own = sorted(votes)
+        if len(own) > 1:
+            y = self.labels[own]
+            self.curve = fitted_logistic(np.array([logit(votes[i]) for i in own]), y.astype(float), self.by_label[y] * len(self.ids))
+
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Of each text the probability and the nearest examples as (similarity, doc_id)."""
+        out = []
+        for lo, hi in groups_of(texts):
+            owner, words, counts = counted(texts[lo:hi])
+            kinds, which = np.unique(words, return_inverse=True)
+            at = np.searchsorted(self.keys, kinds)
+            at[at == len(self.keys)] = 0
+            term = np.where(self.keys[at] == kinds, at, -1)[which] if len(self.keys) else np.full(len(words), -1)
+            known = term >= 0
+            owner, term, counts = owner[known], term[known], counts[known]
+            by = np.lexsort((term, owner))
+            owner, term, weight = self._vectors(hi - lo, owner[by], term[by], counts[by])
+            cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    out.append((self.without, []))
+                    continue
+                near, who = self.index.nearest(term[a:b], weight[a:b], K)
+                x = self.curve[0] * logit(vote(near, self.labels[who], self.share)) + self.curve[1]
+                out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [(float(s), int(self.ids[n])) for s, n in zip(near[:3], who[:3], strict=True)]))
+        return out
 
 
 def held_out(column: str = "doc_id"):
@@ -175,25 +216,47 @@ def held_out(column: str = "doc_id"):
 
 
 def _counted(batches):
+    """Each example's word hashes and counts, packed."""
     for batch in batches:
-        rows = [(i, y, Counter(words(t))) for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_list(batch.column(2)), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([list(r[2]) for r in rows], pa.list_(pa.binary())), pa.array([list(r[2].values()) for r in rows], pa.list_(pa.int32()))], names=["doc_id", "label", "words", "counts"])
+        texts, packed = byte_list(batch.column(2)), []
+        for lo, hi in groups_of(texts):
+            owner, words, counts = counted(texts[lo:hi])
+            cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
+            packed += [(words[a:b].tobytes(), counts[a:b].astype("<i4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1))], names=["doc_id", "label", "words", "counts"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """The model of a bounded sample: at most ``examples`` training rows of each label.
 
     Labels without doc_id or toxic are left out; of several for one document the highest counts. A label whose
-    document is missing is left out too. Without any label the score is 0.5 for every text.
+    document is missing is left out too; of rows that repeat a doc_id one text counts. Without any label the score is
+    0.5 for every text.
     """
+    spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("label"))
     rows = rows.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     n, toxic = rows.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     order = (F.xxhash64("doc_id"), "doc_id")
     sample = rows.where("label = 1").orderBy(*order).limit(examples).unionByName(rows.where("label = 0").orderBy(*order).limit(examples))
-    found = identified(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_counted, "doc_id long, label int, words array<binary>, counts array<int>")
-    held = {r["doc_id"]: (r["doc_id"], r["label"], Counter(dict(zip(map(bytes, r["words"]), r["counts"], strict=True)))) for r in found.toLocalIterator()}
-    return Model([held[k] for k in sorted(held)], (toxic + 0.5) / (n + 1))
+    found = identified(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = found.mapInArrow(_counted, "doc_id long, label int, words binary, counts binary")
+    held = sorted((r["doc_id"], r["label"], bytes(r["words"]), bytes(r["counts"])) for r in found.toLocalIterator())
+    sizes = [len(h[2]) // 8 for h in held]
+    words, counts = np.frombuffer(b"".join(h[2] for h in held), dtype=np.uint64), np.frombuffer(b"".join(h[3] for h in held), dtype="<i4").astype(np.int64)
+    model = Model(np.array([h[0] for h in held], dtype=np.int64), np.array([h[1] for h in held], dtype=np.int64), np.repeat(np.arange(len(held)), sizes), words, counts, (toxic + 0.5) / (n + 1))
+    if held:
+        shared = spark.sparkContext.broadcast(model)
+
+        def own(batches):
+            for batch in batches:
+                numbers = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.own_votes(numbers), pa.float64())], names=["id", "vote"])
+
+        votes = spark.range(0, len(held), numPartitions=shuffle_partitions(spark)).mapInArrow(own, "id long, vote double").where("vote is not null").collect()
+        model.calibrate({r["id"]: r["vote"] for r in votes})
+        shared.unpersist()
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,7 +271,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scan(batches):
         m = model.value
         for batch in batches:
-            found = [m.score(t) for t in byte_list(batch.column(1))]
+            found = m.scores(byte_list(batch.column(1)))
             near = [[{"doc_id": d, "similarity": s} for s, d in f[1]] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array(near, kind)], names=["doc_id", "score", "neighbours"])
 
@@ -225,6 +288,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
     def scan(batches):
         m = model.value
         for batch in batches:
-            yield batch.filter(pa.array([m.score(t)[0] < 0.5 for t in byte_list(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([p < 0.5 for p, _ in m.scores(byte_list(batch.column(at)))], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)

@@ -3,12 +3,14 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from palimpsest.llm import chat_format, decontaminate, exact_dedup, hmm_lm, jaccard_join, packing, quality, substring_dedup, toxicity, warc
+from palimpsest.llm import chat_format, common, decontaminate, exact_dedup, hmm_lm, jaccard_join, packing, quality, substring_dedup, toxicity, warc
 from palimpsest.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, key string, n long"
@@ -207,13 +209,16 @@ def test_block_max_index_is_exact():
     rng = random.Random(4)
     vectors = []
     for _ in range(300):
-        v = {t: rng.random() + 0.1 for t in rng.sample(range(30), rng.randint(1, 6))}
+        v = {t: rng.random() + 0.1 for t in [*rng.sample(range(30), rng.randint(1, 6)), *rng.sample(range(30, 300), 3)]}
         n = math.sqrt(sum(x * x for x in v.values()))
-        vectors.append({t: x / n for t, x in v.items()})
-    found = toxicity.BlockMaxIndex(vectors)
-    for q in vectors[:60]:
-        want = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), n) for n, v in enumerate(vectors) if any(t in v for t in q)))[:16]
-        assert [(-round(s, 12), n) for s, n in found.nearest(q, 16)] == want
+        vectors.append({t: x / n for t, x in sorted(v.items())})
+    example = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
+    found = toxicity.BlockMaxIndex(len(vectors), 300, example, np.array([t for v in vectors for t in v]), np.array([w for v in vectors for w in v.values()]))
+    assert 0 < len(found.rows) < 300  # both kinds of lists
+    for own, q in enumerate(vectors[:60]):
+        for without in (-1, own):
+            want = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), n) for n, v in enumerate(vectors) if n != without and any(t in v for t in q)))[:16]
+            assert [(-round(s, 12), n) for s, n in zip(*(x.tolist() for x in found.nearest(np.array(list(q)), np.array(list(q.values())), 16, without)), strict=True)] == want
 
 
 def test_toxicity(spark):
@@ -246,11 +251,90 @@ def test_toxicity_on_a_small_table(spark):
     assert sum(got[i] for i, y in labels.items() if y == 0) <= 4
 
 
+def brute_toxicity(rows, labels, k=toxicity.K, chi=toxicity.CHI2):
+    """Probabilities by all cosines, in plain Python; labels: label by doc_id of the training rows."""
+    bag = {i: Counter(re.findall(rb"[a-z\x80-\xff]+", (t or "").encode().lower())) for i, t in rows}
+    examples = sorted(i for i in labels if i in bag)
+    n = [sum(labels[i] == y for i in examples) for y in (0, 1)]
+    weight = {}
+    for w in {w for i in examples for w in bag[i]}:
+        a, b = (sum(w in bag[i] for i in examples if labels[i] == y) for y in (1, 0))
+        c, d = n[1] - a, n[0] - b
+        total = (a + b) * (c + d) * n[1] * n[0]
+        weight[w] = (math.log((1 + len(examples)) / (1 + a + b)) + 1) * min(1.0, ((a * d - b * c) ** 2 * sum(n) / total if total else 0.0) / chi)
+
+    def vector(i):
+        raw = {w: (1 + math.log(c)) * weight[w] for w, c in bag[i].items() if weight.get(w)}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / size for w, x in raw.items()}
+
+    vectors = {i: vector(i) for i in bag}
+    share = (n[1] + 0.5) / (sum(n) + 1)
+
+    def voted(i, without=None):
+        near = sorted(((sum(x * vectors[e].get(w, 0.0) for w, x in vectors[i].items()), labels[e]) for e in examples if e != without), reverse=True)[:k]
+        votes = [(1 / (1.1 - min(1.0, s)), y) for s, y in near if s > 0]
+        p = (sum(v * y for v, y in votes) + share) / (sum(v for v, _ in votes) + 1)
+        return math.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
+
+    own = [i for i in examples if vectors[i]]
+    by_label = [(1 - share) / n[0], share / n[1]]
+    curve = toxicity.fitted_logistic(np.array([voted(i, i) for i in own]), np.array([float(labels[i]) for i in own]), np.array([by_label[labels[i]] * len(examples) for i in own]))
+    bare = [labels[i] for i in examples if not vectors[i]]
+    without = (by_label[1] * sum(bare) + 1e-4 * share) / (sum(by_label[y] for y in bare) + 1e-4)
+    return {i: 1 / (1 + math.exp(-(curve[0] * voted(i) + curve[1]))) if vectors[i] else without for i in bag}
+
+
+def test_toxicity_matches_brute_force(spark):
+    """Ties between neighbours of one similarity are few here; a vote's weight depends on similarities alone."""
+    rng = random.Random(21)
+    rows, labels = [], {}
+    for i in range(260):
+        bad = rng.random() < 0.3
+        words = [rng.choice(VOCAB) for _ in range(rng.choice([0, *range(8, 31)]))] + (rng.sample(["nasty", "vile", "foul", "rotten"], 2) if bad else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels[i] = int(bad)
+    rows += [(1000 + i, t) for i, t in ODD]
+    got = {r["doc_id"]: r for r in toxicity.score(table(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    assert {i for i, r in got.items() if r["held_out"]} == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    want = brute_toxicity(rows, {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5})
+    assert {i: r["score"] for i, r in got.items()} == pytest.approx(want, abs=1e-6)
+
+
 def test_toxicity_indexes_every_word():
     rng = random.Random(2)
-    examples = [(i, i % 2, Counter([b"x%d" % rng.randrange(900) for _ in range(30)])) for i in range(200)]
-    model = toxicity.Model(examples, 0.5)
-    assert set(model.term) == {w for _, _, c in examples for w in c} and len(model.term) > 512
+    texts = [b" ".join(b"%c%c%c" % tuple(rng.randrange(97, 123) for _ in range(3)) for _ in range(30)) for _ in range(200)]
+    owner, words, counts = toxicity.counted(texts)
+    model = toxicity.Model(np.arange(200), np.arange(200) % 2, owner, words, counts, 0.5)
+    kinds = {w for t in texts for w in t.split()}
+    assert len(model.keys) == len(kinds) > 512
+
+
+def test_toxicity_odd_rows(spark):
+    """Null and repeated doc_ids, rows without labels, empty tables, other columns, very long texts."""
+    docs = spark.createDataFrame([(None, "vile words", 1), (None, "vile words", 2), (3, "kind words", 3), (3, "vile words", 4), (4, "a " * 300_000, 5)], "doc_id long, text string, score int")
+    marks = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (1, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, marks).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "3", "4", "None", "None"] and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score(docs.limit(0), marks).count() == 0
+    assert {r["score"] for r in toxicity.score(docs, marks.limit(0)).collect()} == {0.5}
+
+
+def test_split_words(monkeypatch):
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab \t\n\x0b\x0c\r\x1c\xc3\xa9AZ") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [b"", b"x" * 9000 + b" y", b" "]
+    seen = {}
+    for stretch in (50, 1 << 20):
+        monkeypatch.setattr(common, "STRETCH", stretch)
+        for lower in (True, False):
+            hashes, cuts = common.split_words(texts, lower)
+            want = [(t.lower() if lower else t).split() for t in texts]
+            assert np.diff(cuts).tolist() == [len(w) for w in want]
+            for word, h in zip((w for words in want for w in words), hashes.tolist(), strict=True):
+                assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert [texts[a:b] for a, b in common.groups_of(texts, 100)] and sum((texts[a:b] for a, b in common.groups_of(texts, 100)), []) == texts
 
 
 def brute_substrings(rows, window):
