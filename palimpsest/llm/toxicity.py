@@ -19,10 +19,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_list, groups_of, identified, real_id, shuffle_partitions, split_words
+from palimpsest.llm.common import byte_list, groups_of, identified, real_id, shuffle_partitions, split_words, stored
 
 EXAMPLES, CHI2, K, BLOCK = 4096, 40.0, 16, 64
 
@@ -55,7 +56,7 @@ class BlockMaxIndex:
     def __init__(self, size: int, terms: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray):
         self.size, self.blocks = size, max(1, -(-size // BLOCK))
         often = np.flatnonzero(8 * np.bincount(term, minlength=terms) >= max(8, size))
-        self.row = np.full(terms, -1)
+        self.row = np.full(terms, -1, dtype=np.int32)
         self.row[often] = np.arange(len(often))
         self.rows = np.zeros((len(often), self.blocks * BLOCK))
         dense = self.row[term] >= 0
@@ -64,11 +65,11 @@ class BlockMaxIndex:
         order = np.lexsort((example, term))
         run = term[order] * self.blocks + example[order] // BLOCK
         begin = np.flatnonzero(np.diff(run, prepend=-1))
-        self.example, self.weight = example[order], weight[order]
-        self.begin = np.append(begin, len(run))
-        self.block = run[begin] % self.blocks
+        self.example, self.weight = example[order].astype(np.int32 if size > 32_767 else np.int16), weight[order]
+        self.begin = np.append(begin, len(run)).astype(np.int32)
+        self.block = (run[begin] % self.blocks).astype(np.int32 if size > 32_767 else np.int16)
         self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
-        self.first = np.searchsorted(run[begin], np.arange(terms + 1) * self.blocks)  # a term's runs
+        self.first = np.searchsorted(run[begin], np.arange(terms + 1) * self.blocks).astype(np.int32)  # a term's runs
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(similarities, examples) of the k best, best first, ties by smaller number; similarities over 0 only.
@@ -128,7 +129,7 @@ def logit(p: float) -> float:
 
 
 class Model:
-    """Terms, index, labels and the calibration, which is set once the examples' own votes are known."""
+    """Terms and index of the examples, and the labels' shares."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, words: np.ndarray, counts: np.ndarray, toxic_share: float):
         """Example number, word hash and count of each word of each example; toxic_share: of all labelled training rows."""
@@ -142,14 +143,11 @@ class Model:
         total = (a + b) * (c + d) * n[1] * n[0]
         chi2 = (a * d - b * c) ** 2 * (n[0] + n[1]) / np.where(total > 0, total, 1) * (total > 0)
         self.weight = (np.log((1 + len(ids)) / (1 + a + b)) + 1) * np.minimum(1.0, chi2 / CHI2)
-        by = np.lexsort((term, example))
-        owner, at, weight = self._vectors(len(ids), example[by], term[by], counts[by])
+        owner, at, weight = self._vectors(len(ids), example, term, counts)
         self.index = BlockMaxIndex(len(ids), len(self.keys), owner, at, weight)
-        self.cuts, self.at, self.unit = np.searchsorted(owner, np.arange(len(ids) + 1)), at, weight
         self.by_label = np.array([(1 - toxic_share) / max(1, n[0]), toxic_share / max(1, n[1])])
-        bare = self.labels[np.diff(self.cuts) == 0]
+        bare = self.labels[np.bincount(owner, minlength=len(ids)) == 0]
         self.without = (self.by_label[1] * np.sum(bare) + 1e-4 * toxic_share) / (self.by_label[bare].sum() + 1e-4) if len(ids) else toxic_share
-        self.curve = (1.0, 0.0)
 
     @staticmethod
     def _order(n: int, example: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -162,51 +160,49 @@ class Model:
 
     def _vectors(self, n: int, owner: np.ndarray, term: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit vectors as (owner, term, weight); owners and, within them, terms rise."""
-        weight = (1 + np.log(counts)) * self.weight[term]
+        by = np.lexsort((term, owner))
+        owner, term, weight = owner[by], term[by], (1 + np.log(counts[by])) * self.weight[term[by]]
         real = weight > 0
         owner, term, weight = owner[real], term[real], weight[real]
         norm = np.sqrt(np.bincount(owner, weight * weight, minlength=n))
         return owner, term, weight / norm[owner]
 
-    def own_votes(self, numbers: np.ndarray) -> list[float | None]:
-        """Leave-one-out votes of examples; None for one without a vector."""
-        out: list[float | None] = []
-        for i in numbers:
-            a, b = self.cuts[i], self.cuts[i + 1]
-            if a < b:
-                near, who = self.index.nearest(self.at[a:b], self.unit[a:b], K, int(i))
-                out.append(vote(near, self.labels[who], self.share))
-            else:
-                out.append(None)
+    def votes(self, n: int, owner: np.ndarray, words: np.ndarray, counts: np.ndarray, without: list[int] | None = None) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """(vote, similarities, examples) of each of n texts, given by text number, word hash and count of each word;
+        the vote is None for a text without a vector. ``without`` has the doc_id that each text may not meet."""
+        kinds, which = np.unique(words, return_inverse=True)
+        at = np.searchsorted(self.keys, kinds)
+        at[at == len(self.keys)] = 0
+        term = np.where(self.keys[at] == kinds, at, -1)[which] if len(self.keys) else np.full(len(words), -1)
+        known = term >= 0
+        owner, term, weight = self._vectors(n, owner[known], term[known], counts[known])
+        cuts = np.searchsorted(owner, np.arange(n + 1))
+        by_id = np.argsort(self.ids)
+        out: list[tuple[float | None, np.ndarray, np.ndarray]] = []
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a == b:
+                out.append((None, np.zeros(0), np.zeros(0, dtype=np.int64)))
+                continue
+            own = -1 if without is None else int(by_id[np.searchsorted(self.ids, without[k], sorter=by_id)])
+            near, who = self.index.nearest(term[a:b], weight[a:b], K, own)
+            out.append((vote(near, self.labels[who], self.share), near, who))
         return out
 
-    def calibrate(self, votes: dict[int, float]) -> None:
-        """Fits the curve on the examples' own votes."""
+    def calibrated(self, votes: dict[int, float]) -> tuple[float, float]:
+        """The curve that the examples' own votes, by doc_id, give."""
+        number = {int(i): k for k, i in enumerate(self.ids)}
         own = sorted(votes)
-        if len(own) > 1:
-            y = self.labels[own]
-            self.curve = fitted_logistic(np.array([logit(votes[i]) for i in own]), y.astype(float), self.by_label[y] * len(self.ids))
+        if len(own) < 2:
+            return 1.0, 0.0
+        y = self.labels[[number[i] for i in own]]
+        return fitted_logistic(np.array([logit(votes[i]) for i in own]), y.astype(float), self.by_label[y] * len(self.ids))
 
-    def scores(self, texts: list[bytes]) -> list[tuple[float, list[tuple[float, int]]]]:
+    def scores(self, texts: list[bytes], curve: tuple[float, float]) -> list[tuple[float, list[tuple[float, int]]]]:
         """Of each text the probability and the nearest examples as (similarity, doc_id)."""
         out = []
         for lo, hi in groups_of(texts):
-            owner, words, counts = counted(texts[lo:hi])
-            kinds, which = np.unique(words, return_inverse=True)
-            at = np.searchsorted(self.keys, kinds)
-            at[at == len(self.keys)] = 0
-            term = np.where(self.keys[at] == kinds, at, -1)[which] if len(self.keys) else np.full(len(words), -1)
-            known = term >= 0
-            owner, term, counts = owner[known], term[known], counts[known]
-            by = np.lexsort((term, owner))
-            owner, term, weight = self._vectors(hi - lo, owner[by], term[by], counts[by])
-            cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    out.append((self.without, []))
-                    continue
-                near, who = self.index.nearest(term[a:b], weight[a:b], K)
-                x = self.curve[0] * logit(vote(near, self.labels[who], self.share)) + self.curve[1]
+            for p, near, who in self.votes(hi - lo, *counted(texts[lo:hi])):
+                x = curve[0] * logit(p) + curve[1] if p is not None else logit(self.without)
                 out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [(float(s), int(self.ids[n])) for s, n in zip(near[:3], who[:3], strict=True)]))
         return out
 
@@ -226,8 +222,14 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1))], names=["doc_id", "label", "words", "counts"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
-    """The model of a bounded sample: at most ``examples`` training rows of each label.
+def _unpacked(words: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, word hash, count) of packed ones."""
+    owner = np.repeat(np.arange(len(words)), [len(w) // 8 for w in words])
+    return owner, np.frombuffer(b"".join(words), dtype=np.uint64), np.frombuffer(b"".join(counts), dtype="<i4").astype(np.int64)
+
+
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[Broadcast, tuple[float, float]]:
+    """(model, curve) of a bounded sample: at most ``examples`` training rows of each label.
 
     Labels without doc_id or toxic are left out; of several for one document the highest counts. A label whose
     document is missing is left out too; of rows that repeat a doc_id one text counts. Without any label the score is
@@ -240,23 +242,19 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
     order = (F.xxhash64("doc_id"), "doc_id")
     sample = rows.where("label = 1").orderBy(*order).limit(examples).unionByName(rows.where("label = 0").orderBy(*order).limit(examples))
     found = identified(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    found = found.mapInArrow(_counted, "doc_id long, label int, words binary, counts binary")
+    found = stored(found.mapInArrow(_counted, "doc_id long, label int, words binary, counts binary"), "examples")
     held = sorted((r["doc_id"], r["label"], bytes(r["words"]), bytes(r["counts"])) for r in found.toLocalIterator())
-    sizes = [len(h[2]) // 8 for h in held]
-    words, counts = np.frombuffer(b"".join(h[2] for h in held), dtype=np.uint64), np.frombuffer(b"".join(h[3] for h in held), dtype="<i4").astype(np.int64)
-    model = Model(np.array([h[0] for h in held], dtype=np.int64), np.array([h[1] for h in held], dtype=np.int64), np.repeat(np.arange(len(held)), sizes), words, counts, (toxic + 0.5) / (n + 1))
-    if held:
-        shared = spark.sparkContext.broadcast(model)
+    owner, words, counts = _unpacked([h[2] for h in held], [h[3] for h in held])
+    shared = spark.sparkContext.broadcast(Model(np.array([h[0] for h in held], dtype=np.int64), np.array([h[1] for h in held], dtype=np.int64), owner, words, counts, (toxic + 0.5) / (n + 1)))
 
-        def own(batches):
-            for batch in batches:
-                numbers = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.own_votes(numbers), pa.float64())], names=["id", "vote"])
+    def own(batches):
+        for batch in batches:
+            packed = _unpacked(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            votes = shared.value.votes(batch.num_rows, *packed, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in votes], pa.float64())], names=["doc_id", "vote"])
 
-        votes = spark.range(0, len(held), numPartitions=shuffle_partitions(spark)).mapInArrow(own, "id long, vote double").where("vote is not null").collect()
-        model.calibrate({r["id"]: r["vote"] for r in votes})
-        shared.unpersist()
-    return model
+    votes = found.select("doc_id", "words", "counts").repartition(shuffle_partitions(spark)).mapInArrow(own, "doc_id long, vote double").where("vote is not null").collect()
+    return shared, shared.value.calibrated({r["doc_id"]: r["vote"] for r in votes})
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -265,13 +263,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have the score of texts without evidence; a null doc_id comes back as null; repeated rows
     are scored each; an empty table gives no rows; other columns are not looked at.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    model, curve = learn(docs, labels)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
 
     def scan(batches):
         m = model.value
         for batch in batches:
-            found = m.scores(byte_list(batch.column(1)))
+            found = m.scores(byte_list(batch.column(1)), curve)
             near = [[{"doc_id": d, "similarity": s} for s, d in f[1]] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array(near, kind)], names=["doc_id", "score", "neighbours"])
 
@@ -282,12 +280,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score is under 0.5; one pass, no join."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    model, curve = learn(docs, labels)
     at = docs.columns.index(text_col)
 
     def scan(batches):
         m = model.value
         for batch in batches:
-            yield batch.filter(pa.array([p < 0.5 for p, _ in m.scores(byte_list(batch.column(at)))], pa.bool_()))
+            yield batch.filter(pa.array([p < 0.5 for p, _ in m.scores(byte_list(batch.column(at)), curve)], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
