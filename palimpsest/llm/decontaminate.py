@@ -1,30 +1,38 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into their windows of ``WINDOW`` characters, one from each position (a shorter item is one
-window; one under ``LEAST`` characters is only searched for as it is, not inside a longer word). A text holds
-a window within k edits only if, around one diagonal, it shares at least m - q + 1 - k * q of the window's q-grams.
-Shared q-grams are counted per (document, window, band) in diagonal bands that overlap by half, so that every stretch
-of k + 1 neighbouring diagonals lies in one band; bands that reach the bound are aligned by a banded edit-distance
-table, all candidates of a batch at once. Texts and items are compared lower-cased, with runs of white space as one
-space.
-
-One pass over the texts, no shuffle. The windows are broadcast in blocks of at most ``BLOCK_WINDOWS``; a larger
-benchmark takes more passes, each of which adds its regions to the row.
+A benchmark item's windows are its stretches of ``WINDOW`` characters, one from each position (a shorter item is one
+window; one under ``LEAST`` characters is only searched for as it is, not inside a longer word). A text holds a window
+within k edits only if, around one diagonal, it shares at least m - q + 1 - k * q of the window's q-grams. Shared
+q-grams are sorted by document, item, diagonal band and place in the item, in bands that overlap by half, so that every
+stretch of k + 1 neighbouring diagonals lies in one band; sliding along the places tells which windows reach the bound
+in a band, without an entry for each window. Those are aligned inside the band. The edits of neighbouring windows
+differ by one at most, so one alignment decides the windows after it too: with e edits, the next k - e match and, over
+the budget, the next e - k - 1 don't. Texts and items are compared lower-cased, with runs of white space as one space.
+
+One pass over the texts, no shuffle. The benchmark is broadcast in blocks of about ``BLOCK_CHARS`` characters; a larger
+one takes more passes, each of which adds its regions to the row, with the rows written in between.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import identified, real_id
+from palimpsest.llm.common import identified, real_id, stored
 
-Q, WINDOW, STRIDE, RATE, LEAST = 8, 96, 1, 0.1, 32
-BLOCK_WINDOWS = 100_000
+Q, WINDOW, RATE, LEAST = 8, 96, 0.1, 32
+BLOCK_CHARS = 4_000_000
+
+#: Distance of the bands; each is twice as wide, more than the edits of a window by which a path can leave a diagonal.
+STEP = int(WINDOW * RATE) + 1
+
+#: Longer texts are searched in pieces that share ``2 * WINDOW`` characters, more than a window can match.
+PIECE_CHARS = 500_000
 
 #: Letters and digits of scripts that part words by spaces.
 _LETTER = r"[^\W_\u2e80-\U0010ffff]"
@@ -55,120 +63,141 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 class Patterns:
-    """Windows of benchmark items and the positions of their q-grams."""
+    """Benchmark items and the places of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item: list[int] = []
-        self.codes: list[np.ndarray] = []
-        self.at: list[int] = []
         self.short: list[tuple[int, re.Pattern, str]] = []
+        ids, texts = [], []
         for item, text in items:
             said = normal(text)
-            codes = code_points(said)
-            if len(codes) < LEAST:
+            if len(said) < LEAST:
                 if said:
                     before, after = (f"(?{side}!{_LETTER})" if re.match(_LETTER, edge) else "" for side, edge in (("<", said[0]), ("", said[-1])))
                     self.short.append((item, re.compile(before + re.escape(said) + after), said))
                 continue
-            for begin in sorted({*range(0, max(1, len(codes) - WINDOW + 1), STRIDE), max(0, len(codes) - WINDOW)}):
-                self.item.append(item)
-                self.codes.append(codes[begin : begin + WINDOW])
-                self.at.append(begin)
-        sizes = np.array([len(c) for c in self.codes], dtype=np.int64)
-        self.budget = (sizes * RATE).astype(np.int64)
-        self.least = np.maximum(1, sizes - Q + 1 - self.budget * Q)
-        self.sizes = sizes
-        all_grams = [grams(c) for c in self.codes]
-        flat = np.concatenate(all_grams) if all_grams else np.zeros(0, dtype=np.uint64)
-        owner = np.repeat(np.arange(len(all_grams)), [len(g) for g in all_grams])
-        place = np.concatenate([np.arange(len(g)) for g in all_grams]) if all_grams else np.zeros(0, dtype=np.int64)
+            ids.append(item)
+            texts.append(code_points(said))
+        self.item = np.array(ids, dtype=np.int64)
+        self.length = np.array([len(t) for t in texts], dtype=np.int64)
+        self.codes = np.concatenate(texts) if texts else np.zeros(0, dtype="<u4")
+        self.begin = np.cumsum(self.length) - self.length
+        self.size = np.minimum(self.length, WINDOW)
+        self.budget = (self.size * RATE).astype(np.int64)
+        self.least = np.maximum(1, self.size - Q + 1 - self.budget * Q)
+        all_grams = [grams(t) for t in texts]
+        flat = np.concatenate(all_grams) if texts else np.zeros(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(texts)), [len(g) for g in all_grams])
+        place = np.concatenate([np.arange(len(g)) for g in all_grams]) if texts else np.zeros(0, dtype=np.int64)
         order = np.argsort(flat, kind="stable")
-        self.gram, first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.first, self.owner, self.place = first, owner[order].astype(np.int32), place[order].astype(np.int16)
+        self.gram, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.owner, self.place = owner[order].astype(np.int32), place[order].astype(np.int32)
         self.table = np.zeros(1 << 22, dtype=bool)
         self.table[(self.gram >> np.uint64(42)).astype(np.int64)] = True
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the text, window, position in the window) of each shared q-gram."""
+        """(position in the text, item, place in the item) of each shared q-gram."""
         g = grams(codes)
         where = np.flatnonzero(self.table[(g >> np.uint64(42)).astype(np.int64)])
         k = np.searchsorted(self.gram, g[where])
         k[k == len(self.gram)] = 0
-        real = self.gram[k] == g[where] if len(self.gram) else np.zeros(0, dtype=bool)
+        real = self.gram[k] == g[where]
         where, k = where[real], k[real]
         n = self.count[k]
-        flat = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
-        return np.repeat(where, n), self.owner[flat], self.place[flat]
+        at = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(where, n), self.owner[at].astype(np.int64), self.place[at].astype(np.int64)
+
+
+def candidates(patterns: Patterns, text: np.ndarray, pos: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item, first diagonal of a band, lo, hi): windows that begin at lo to hi of the item reach the bound there."""
+    shift = int(patterns.length.max()) // STEP + 2  # no band has a number under 0
+    band = (pos - place) // STEP + shift
+    bands = int(band.max()) + 1
+    key = (text * len(patterns.item) + item) * bands
+    key = np.concatenate([key + band, key + band - 1])
+    place, item = np.concatenate([place, place]), np.concatenate([item, item])
+    order = np.lexsort((place, key))
+    key, place, item = key[order], place[order], item[order]
+    end = np.arange(len(key)) + patterns.least[item] - 1
+    inside = end < len(key)
+    end[~inside] = 0
+    good = np.flatnonzero(inside & (key[end] == key) & (place[end] - place + Q <= patterns.size[item]))
+    key, item, lo, hi = key[good], item[good], place[end[good]] + Q - patterns.size[item[good]], place[good]
+    lo, hi = np.maximum(0, lo), np.minimum(hi, patterns.length[item] - patterns.size[item])
+    key, item, lo, hi = (x[lo <= hi] for x in (key, item, lo, hi))
+    if not len(key):
+        return key, key, key, key, key
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] > hi[:-1] + 1)]))  # lo and hi rise within a key
+    last = np.append(new[1:], len(key)) - 1
+    return key[new] // bands // len(patterns.item), item[new], (key[new] % bands - shift) * STEP, lo[new], hi[last]
 
 
 def banded(pattern: np.ndarray, size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of each pattern against any stretch of its text slice, and where that stretch ends.
+    """Least edits of each pattern against a stretch of its text inside the band, and the diagonal on which it ends.
 
-    pattern: C x m (padded), size: real lengths, text: C x w codes of the band's slice; the first row costs nothing,
-    so the stretch may begin anywhere in the slice.
+    pattern: C x m codes (padded), size: real lengths, text: C x (m + band) codes, of which the i-th of the pattern meets
+    the i-th and those after it. The first row costs nothing, so the stretch may begin on any diagonal of the band.
     """
-    c, w = text.shape
-    step = np.arange(w + 1)
-    row = np.zeros((c, w + 1), dtype=np.int32)
+    c, width = len(pattern), text.shape[1] - pattern.shape[1]
+    step = np.arange(width, dtype=np.int16)
+    row = np.zeros((c, width), dtype=np.int16)
     last = row.copy()
     for i in range(pattern.shape[1]):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, :-1] + (text != pattern[:, i : i + 1]), row[:, 1:] + 1)
+        new = row + (text[:, i : i + width] != pattern[:, i : i + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
         row = np.minimum.accumulate(new - step, axis=1) + step
         ends = size == i + 1
-        last[ends] = row[ends]
+        if ends.any():
+            last[ends] = row[ends]
     end = last.argmin(axis=1)
-    return last[np.arange(c), end], end
+    return last[np.arange(c), end].astype(np.int64), end
 
 
-def find(patterns: Patterns, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item, begin, end, edits) of each region, positions in the normalised text."""
-    whole = [normal(t) for t in texts]
+def find(patterns: Patterns, whole: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """(text number, item, begin, end, edits) of aligned windows, in normalised texts; a run of windows that match is
+    there with its first, its last and some between, which overlap."""
     # A separator that is in no window keeps q-grams inside one text.
-    codes = code_points("￿".join(whole) + "￿")
+    codes = code_points("\uffff".join(whole) + "\uffff")
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in whole])])
-    pos, win, place = patterns.hits(codes)
+    pos, item, place = patterns.hits(codes)
     if not len(pos):
         return []
-    delta = int(patterns.budget.max()) + 1
-    band = (pos - place + WINDOW) // delta
-    key = np.concatenate([band, band - 1]) * len(patterns.codes) + np.concatenate([win, win])
-    key, count = np.unique(key, return_counts=True)
-    b, w = np.divmod(key, len(patterns.codes))
-    good = count >= patterns.least[w]
-    b, w = b[good], w[good]
+    text, item, diagonal, at, hi = candidates(patterns, np.searchsorted(begins, pos, side="right") - 1, pos, item, place)
     out = []
-    for part in range(0, len(b), 2000):
-        bb, ww = b[part : part + 2000], w[part : part + 2000]
-        width = WINDOW + 4 * delta
-        start = bb * delta - WINDOW - delta
-        at = start[:, None] + np.arange(width)
-        owner = np.searchsorted(begins, np.clip(start + 2 * delta + patterns.sizes[ww] // 2, 0, len(codes) - 1), side="right") - 1
-        inside = (at >= begins[owner][:, None]) & (at < begins[owner + 1][:, None] - 1)
-        text = np.where(inside, codes[np.clip(at, 0, len(codes) - 1)], 0x110000)
-        pattern = np.full((len(ww), WINDOW), 0x110001, dtype=np.int64)
-        for n, k in enumerate(ww):
-            pattern[n, : patterns.sizes[k]] = patterns.codes[k]
-        edits, end = banded(pattern, patterns.sizes[ww], text)
-        for n in np.flatnonzero(edits <= patterns.budget[ww]):
-            stop = int(start[n] + end[n] - begins[owner[n]])
-            out.append((int(owner[n]), patterns.item[ww[n]], max(0, stop - int(patterns.sizes[ww[n]])), stop, int(edits[n])))
+    width = 2 * STEP
+    while len(at):
+        edits, stop = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+        for a in range(0, len(at), 4000):
+            t, n, s, d = (x[a : a + 4000] for x in (text, item, at, diagonal))
+            spot = (s + d)[:, None] + np.arange(WINDOW + width)
+            inside = (spot >= begins[t][:, None]) & (spot < begins[t + 1][:, None] - 1)
+            said = np.where(inside, codes[np.clip(spot, 0, len(codes) - 1)], 0x110000)
+            own = np.arange(WINDOW)
+            pattern = np.where(own < patterns.size[n][:, None], patterns.codes[np.minimum((patterns.begin[n] + s)[:, None] + own, len(patterns.codes) - 1)], 0x110001)
+            edits[a : a + 4000], w = banded(pattern, patterns.size[n], said)
+            stop[a : a + 4000] = s + d + patterns.size[n] + w
+        spare = patterns.budget[item] - edits
+        for k in np.flatnonzero(spare >= 0):
+            t = int(text[k])
+            end = min(int(stop[k] - begins[t]), len(whole[t]))
+            out.append((t, int(patterns.item[item[k]]), max(0, end - int(patterns.size[item[k]])), end, int(edits[k])))
+        # From a match to the last window that it proves; over the budget to the first that may match.
+        ahead = np.where((spare > 0) & (at < hi), np.minimum(at + spare, hi), at + np.maximum(1, -spare))
+        go = ahead <= hi
+        text, item, diagonal, at, hi = text[go], item[go], diagonal[go], ahead[go], hi[go]
     return out
 
 
-def _blocks(benchmark: DataFrame) -> list[Patterns]:
+def _blocks(benchmark: DataFrame) -> Iterator[Patterns]:
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks, held, windows = [], [], 0
+    held, chars = [], 0
     for r in rows.toLocalIterator():
         held.append((r["item_id"], r["text"]))
-        windows += 1 + len(r["text"]) // STRIDE
-        if windows >= BLOCK_WINDOWS:
-            blocks.append(Patterns(held))
-            held, windows = [], 0
-    if held or not blocks:
-        blocks.append(Patterns(held))
-    return blocks
+        chars += len(r["text"])
+        if chars >= BLOCK_CHARS:
+            yield Patterns(held)
+            held, chars = [], 0
+    if held:
+        yield Patterns(held)
 
 
 _SPAN = pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
@@ -192,41 +221,44 @@ GROUP_CHARS = 60_000
 
 
 def spans(patterns: Patterns, texts: list[str]) -> list[list[dict]]:
-    out: list[list[dict]] = []
-    group: list[str] = []
+    """The regions of each text."""
+    own: list[list] = [[] for _ in texts]
+    group: list[tuple[int, int, str]] = []
     held = 0
 
     def done() -> None:
-        own: list[list] = [[] for _ in group]
-        if patterns.codes:
-            for n, item, begin, end, edits in find(patterns, group):
-                own[n].append((item, begin, end, edits))
-        if patterns.short:
-            for n, text in enumerate(map(normal, group)):
-                for item, exact, said in patterns.short:
-                    if said in text:
-                        own[n] += [(item, m.start(), m.end(), 0) for m in exact.finditer(text)]
-        out.extend(_merged(f) for f in own)
-
-    for text in texts:
-        if held > GROUP_CHARS:
-            done()
-            group, held = [], 0
-        group.append(text)
-        held += len(text)
-    done()
-    return out
+        for k, item, begin, end, edits in find(patterns, [g[2] for g in group]):
+            n, offset, _ = group[k]
+            own[n].append((item, begin + offset, end + offset, edits))
+
+    for n, text in enumerate(map(normal, texts)):
+        for item, exact, said in patterns.short:
+            if said in text:
+                own[n] += [(item, m.start(), m.end(), 0) for m in exact.finditer(text)]
+        if not len(patterns.item):
+            continue
+        for offset in range(0, max(1, len(text)), PIECE_CHARS):
+            piece = text[offset : offset + PIECE_CHARS + 2 * WINDOW]
+            if held and held + len(piece) > GROUP_CHARS:
+                done()
+                group, held = [], 0
+            group.append((n, offset, piece))
+            held += len(piece)
+    if group:
+        done()
+    return [_merged(f) for f in own]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids, regions (item_id, begin, end, edits).
 
-    Positions are in the normalised text. Items under ``LEAST`` characters are found without edits only. Null and empty
-    texts hold nothing; a null doc_id comes back as null; repeated rows are searched each; an empty table gives no rows;
-    other columns are not looked at.
+    Positions are in the normalised text; edits are the fewest of the windows that were aligned. Items under ``LEAST``
+    characters are found without edits only. Null and empty texts hold nothing, and null and empty items are in no text;
+    a null doc_id comes back as null; repeated rows are searched each; an empty table gives no rows; other columns are
+    not looked at.
     """
     out = identified(docs).withColumn("regions", F.array().cast(_SPANS))
-    for patterns in _blocks(benchmark):
+    for n, patterns in enumerate(_blocks(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
         def scan(batches, shared=shared):
@@ -234,7 +266,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = [r + f for r, f in zip(batch.column(2).to_pylist(), spans(shared.value, batch.column(1).to_pylist()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "text", "regions"])
 
-        out = out.mapInArrow(scan, f"doc_id long, text string, regions {_SPANS}")
+        out = (stored(out, "block") if n else out).mapInArrow(scan, f"doc_id long, text string, regions {_SPANS}")
     items = F.array_sort(F.array_distinct(F.transform("regions", lambda r: r["item_id"])))
     return out.select(real_id("doc_id"), (F.size("regions") > 0).alias("contaminated"), items.alias("item_ids"), "regions")
 
@@ -242,7 +274,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no region of the benchmark; one pass a block, no join."""
     at = docs.columns.index(text_col)
-    for patterns in _blocks(benchmark):
+    for n, patterns in enumerate(_blocks(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
         def scan(batches, shared=shared):
@@ -250,5 +282,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
                 found = spans(shared.value, [t or "" for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = (stored(docs, "block") if n else docs).mapInArrow(scan, docs.schema)
     return docs

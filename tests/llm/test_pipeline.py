@@ -1,11 +1,11 @@
 """The pipeline on a small fixture against brute force, and the registered queries' SQL."""
 
 import math
+import zlib
 
-from test_operators import brute_components, brute_dedup, edit_distance_in
+from test_operators import brute_components, brute_dedup, brute_toxicity, leaks
 
 import corpus_pipeline
-from palimpsest.llm import decontaminate, toxicity
 from palimpsest.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -21,25 +21,19 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    toxic = {r["doc_id"] for r in toxicity.score(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
+    marks = {r["doc_id"]: int(r["toxic"] > 0) for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic is not null").collect()}
+    # Neighbours with one similarity and different labels could be told apart by their order alone; here are none.
+    toxic = {i for i, p in brute_toxicity(list(rows.items()), {i: y for i, y in marks.items() if zlib.crc32(str(i).encode()) % 5}).items() if p >= 0.5}
     kept = [(i, t) for i, t in rows.items() if i not in toxic]
     stays = {i for i, _, _, k, _ in brute_dedup(kept) if k}
     kept = [(i, t) for i, t in kept if i in stays]
     home = brute_components(kept, 5, 80)
     kept = [(i, t) for i, t in kept if home[i][1] == i]
     items = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
-    patterns = decontaminate.Patterns([(x["item_id"], x["text"]) for x in items])
-
-    def leaks(text):
-        text = decontaminate.normal(text)
-        for codes, k in zip(patterns.codes, patterns.budget, strict=True):
-            s = "".join(map(chr, codes))
-            parts = [s[a : a + 8] for a in range(0, len(s), 8)]
-            if s in text or sum(p in text for p in parts) > 1 and edit_distance_in(s, text) <= k:
-                return True
-        return False
-
-    assert {r["doc_id"] for r in got} == {i for i, t in kept if not leaks(t)}
+    leaked = {i for i, t in kept if any(leaks(x["text"] or "", t or "") for x in items)}
+
+    assert toxic and leaked
+    assert {r["doc_id"] for r in got} == {i for i, t in kept} - leaked
     total = sum(r["length"] for r in got)
     assert len({r["sequence_id"] for r in got}) <= math.ceil(total / 2048) * 1.02 + 1
 
