@@ -513,23 +513,21 @@ def places_of(text, size):
 
 def leaks(item, text):
     """Whether the text holds a window of the item within a tenth of its characters; both are lower-cased, with runs of
-    white space as one space. Of a window's equal parts, one more than edits, one at least is there unchanged."""
+    white space as one space. Of a window's equal parts, three more than edits, three at least are there unchanged and
+    not more than that many places off."""
     item, text = (" ".join(x.lower().split()) for x in (item, text))
     size = min(len(item), 96)
     k = size // 10
     if len(item) < 32:
         return False
-    part = size // (k + 1)
+    part = size // (k + 3)
     places = places_of(text, part)
     for begin in range(len(item) - size + 1):
         window = item[begin : begin + size]
-        near = {y - x for x in range(0, part * (k + 1), part) for y in places.get(window[x : x + part], ())}
-        done = None
-        for y in sorted(near):
-            if done is None or y > done + k:
-                done = y
-                if edit_distance_in(window, text[max(0, y - 2 * k) : y + size + 3 * k]) <= k:
-                    return True
+        near = sorted(y - x for x in range(0, part * (k + 3), part) for y in places.get(window[x : x + part], ()))
+        for first, third in zip(near, near[2:], strict=False):
+            if third - first <= k and edit_distance_in(window, text[max(0, first - 2 * k) : first + size + 3 * k]) <= k:
+                return True
     return False
 
 

@@ -14,10 +14,10 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_matches_brute_force(spark, tmp_path):
     import pyarrow.parquet as pq
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(120)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("labels", "benchmark"):
-        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(80).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -29,7 +29,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     kept = [(i, t) for i, t in kept if i in stays]
     home = brute_components(kept, 5, 80)
     kept = [(i, t) for i, t in kept if home[i][1] == i]
-    items = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
+    items = pq.read_table(f"{tmp_path}/benchmark.parquet").to_pylist()
     leaked = {i for i, t in kept if any(leaks(x["text"] or "", t or "") for x in items)}
 
     assert toxic and leaked
