@@ -70,8 +70,10 @@ def test_jaccard_join(spark, corpus, size, percent):
     assert got == brute_components(corpus, size, percent)
 
 
-def test_jaccard_join_large_groups(spark):
+@pytest.mark.parametrize("full_pass", [100_000, 20])
+def test_jaccard_join_large_groups(spark, monkeypatch, full_pass):
     """Near copies in a chain and more than a few candidates a query."""
+    monkeypatch.setattr(jaccard_join, "FULL_PASS", full_pass)
     rng = random.Random(9)
     base = [rng.choice(VOCAB) + str(rng.randint(0, 99)) for _ in range(100)]
     rows = []
@@ -91,14 +93,29 @@ def test_jaccard_join_odd(spark):
 
 
 def test_divide_skip():
-    import numpy as np
-
     rng = np.random.default_rng(3)
     for _ in range(50):
         q = np.unique(rng.integers(0, 300, 120).astype(np.uint64))
         others = [np.unique(np.concatenate([rng.permutation(q)[: rng.integers(1, len(q) + 1)], rng.integers(0, 400, rng.integers(0, 20)).astype(np.uint64)])) for _ in range(6)]
         want = [n for n, o in enumerate(others) if 100 * len(np.intersect1d(q, o)) >= 80 * len(np.union1d(q, o))]
         assert jaccard_join.divide_skip(q, others, 80) == want
+        assert jaccard_join.divide_skip(q, others, 80, rng.integers(0, 9, len(q))) == want
+
+
+def test_sketches_exclude_no_link():
+    rng = np.random.default_rng(4)
+    hits = 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(520, 3000)).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[: int(len(a) * rng.uniform(0.7, 1))], rng.integers(0, 1 << 62, rng.integers(0, 200)).astype(np.uint64)]))
+        if len(b) <= 512:
+            continue
+        allowed = jaccard_join.sketches_allow(jaccard_join.wide_sketch(a), jaccard_join.wide_sketch(b), len(a), len(b), 90)
+        shared = len(np.intersect1d(a, b))
+        linked = 100 * shared >= 90 * (len(a) + len(b) - shared)
+        assert allowed or not linked
+        hits += allowed and not linked
+    assert hits < 60
 
 
 @pytest.mark.parametrize("one_task", [500_000, 10])
