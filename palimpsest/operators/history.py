@@ -40,6 +40,11 @@ class Graph:
             raise ValueError(f"over {Graph.LIMIT} commits: walk the edges as a DataFrame instead")
         return Graph({c: list(p) for c, p in zip(rows["commit"], rows["parents"], strict=True)}, dict(zip(rows["commit"], rows["ts"], strict=True)))
 
+    def check(self, *tips) -> None:
+        """An unknown commit is an error, not one without history."""
+        if missing := [t for t in tips if t not in self.parents]:
+            raise ValueError(f"no such commit: {', '.join(map(str, missing))}")
+
     def reachable(self, *tips, until: set | None = None) -> set:
         seen, todo = set(), [t for t in tips if t in self.parents]
         while todo:
@@ -51,6 +56,7 @@ class Graph:
 
     def merge_bases(self, a, b) -> list:
         """Common ancestors that aren't ancestors of another one."""
+        self.check(a, b)
         common = self.reachable(a) & self.reachable(b)
         lower = self.reachable(*[p for c in common for p in self.parents[c]])
         return sorted(common - lower)
@@ -61,6 +67,7 @@ class Graph:
         return max(found, key=lambda c: (self.times.get(c) is not None, self.times.get(c), c)) if found else None
 
     def ahead_behind(self, a, b) -> tuple[int, int]:
+        self.check(a, b)
         x, y = self.reachable(a), self.reachable(b)
         return len(x - y), len(y - x)
 
@@ -160,8 +167,9 @@ def log(commits: DataFrame, graph: Graph, tips: list, since=None, author: str |
     """Commits reachable from the tips and not from ``since``, in order (column ``at``).
 
     ``author`` and ``committer`` are regular expressions for the whole name; commits without a name pass. ``paths`` is
-    a table with the commits that touched the wanted paths. Times are inclusive.
+    a table with the commits that touched the wanted paths. Times are inclusive. Unknown tips are errors.
     """
+    graph.check(*tips, *([] if since is None else [since]))
     order = graph.first_parents(tips[0]) if first_parent else graph.topological(*tips) if topo else graph.chronological(*tips)
     gone = graph.reachable(since) if since is not None else set()
     out = commits.join(_listed(commits.sparkSession, [c for c in order if c not in gone]), "commit")

@@ -476,10 +476,16 @@ def _(s, d):
 
 # --- history ---------------------------------------------------------------------------------------------------------
 
-_UP = "up(c) AS (SELECT CAST({tip} AS BIGINT) UNION SELECT e.p FROM edge e JOIN up ON e.c = up.c)"
+#: Tips are taken from the table: the latest event, and others at ninths of it.
+TIP, OTHER, EARLY, NEAR = (f"(SELECT {x} FROM events)" for x in ("max(event_id)", "max(event_id) * 7 // 9", "max(event_id) * 4 // 9", "max(event_id) - 10"))
 
 
-def _reach(tip: int, name: str = "up") -> str:
+def _tips(s, d) -> tuple[int, int, int, int]:
+    last = table(s, d, "events").agg(F.max("event_id")).first()[0]
+    return last, last * 7 // 9, last * 4 // 9, last - 10
+
+
+def _reach(tip: str, name: str = "up") -> str:
     return f"{name}(c) AS (SELECT CAST({tip} AS BIGINT) UNION SELECT e.p FROM edge e JOIN {name} ON e.c = {name}.c)"
 
 
@@ -493,47 +499,47 @@ def _(s, d):
     return history.edges(commits(s, d)).select("commit", "parent")
 
 
-@register("log_reachable", f"WITH RECURSIVE {COMMITS}, {_reach(9990)} SELECT n.commit, n.author FROM node n JOIN up ON n.commit = up.c")
+@register("log_reachable", f"WITH RECURSIVE {COMMITS}, {_reach(TIP)} SELECT n.commit, n.author FROM node n JOIN up ON n.commit = up.c")
 def _(s, d):
-    return history.log(*_graph(s, d), [9990]).select("commit", "author")
+    return history.log(*_graph(s, d), [_tips(s, d)[0]]).select("commit", "author")
 
 
-@register("log_since", f"WITH RECURSIVE {COMMITS}, {_reach(9990)}, {_reach(4400, 'since')} SELECT n.commit FROM node n JOIN up ON n.commit = up.c WHERE n.commit NOT IN (SELECT c FROM since)")
+@register("log_since", f"WITH RECURSIVE {COMMITS}, {_reach(TIP)}, {_reach(EARLY, 'since')} SELECT n.commit FROM node n JOIN up ON n.commit = up.c WHERE n.commit NOT IN (SELECT c FROM since)")
 def _(s, d):
-    return history.log(*_graph(s, d), [9990], since=4400).select("commit")
+    return history.log(*_graph(s, d), [_tips(s, d)[0]], since=_tips(s, d)[2]).select("commit")
 
 
-@register("log_chronological_limit", f"WITH RECURSIVE {COMMITS}, {_reach(9990)} SELECT n.commit FROM node n JOIN up ON n.commit = up.c ORDER BY n.ts DESC LIMIT 7 OFFSET 2")
+@register("log_chronological_limit", f"WITH RECURSIVE {COMMITS}, {_reach(TIP)} SELECT n.commit FROM node n JOIN up ON n.commit = up.c ORDER BY n.ts DESC LIMIT 7 OFFSET 2")
 def _(s, d):
-    return history.log(*_graph(s, d), [9990], skip=2, limit=7).select("commit")
+    return history.log(*_graph(s, d), [_tips(s, d)[0]], skip=2, limit=7).select("commit")
 
 
-@register("log_author", f"WITH RECURSIVE {COMMITS}, {_reach(9990)}, {_reach(9980, 'b')} SELECT commit, author FROM node WHERE commit IN (SELECT c FROM up UNION SELECT c FROM b) AND regexp_full_match(author, '1.*')")
+@register("log_author", f"WITH RECURSIVE {COMMITS}, {_reach(TIP)}, {_reach(NEAR, 'b')} SELECT commit, author FROM node WHERE commit IN (SELECT c FROM up UNION SELECT c FROM b) AND regexp_full_match(author, '1.*')")
 def _(s, d):
-    return history.log(*_graph(s, d), [9990, 9980], author="1.*").select("commit", "author")
+    return history.log(*_graph(s, d), [_tips(s, d)[0], _tips(s, d)[3]], author="1.*").select("commit", "author")
 
 
-@register("log_time_range", f"WITH RECURSIVE {COMMITS}, {_reach(9990)} SELECT n.commit FROM node n JOIN up ON n.commit = up.c WHERE n.ts BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'")
+@register("log_time_range", f"WITH RECURSIVE {COMMITS}, {_reach(TIP)} SELECT n.commit FROM node n JOIN up ON n.commit = up.c WHERE n.ts BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'")
 def _(s, d):
     from datetime import datetime
 
-    return history.log(*_graph(s, d), [9990], after=datetime(2024, 1, 2), before=datetime(2024, 1, 20)).select("commit")
+    return history.log(*_graph(s, d), [_tips(s, d)[0]], after=datetime(2024, 1, 2), before=datetime(2024, 1, 20)).select("commit")
 
 
-@register("log_paths", f"WITH RECURSIVE {COMMITS}, {_reach(9990)} SELECT n.commit FROM node n JOIN up ON n.commit = up.c WHERE n.message = 'click'")
+@register("log_paths", f"WITH RECURSIVE {COMMITS}, {_reach(TIP)} SELECT n.commit FROM node n JOIN up ON n.commit = up.c WHERE n.message = 'click'")
 def _(s, d):
     c, g = _graph(s, d)
-    return history.log(c, g, [9990], paths=c.where("message = 'click'")).select("commit")
+    return history.log(c, g, [_tips(s, d)[0]], paths=c.where("message = 'click'")).select("commit")
 
 
-@register("log_first_parent", "WITH RECURSIVE f(c) AS (SELECT CAST(9990 AS BIGINT) UNION SELECT c // 2 FROM f WHERE c > 0) SELECT c AS commit FROM f")
+@register("log_first_parent", f"WITH RECURSIVE f(c) AS (SELECT CAST({TIP} AS BIGINT) UNION SELECT c // 2 FROM f WHERE c > 0) SELECT c AS commit FROM f")
 def _(s, d):
-    return history.log(*_graph(s, d), [9990], first_parent=True).select("commit")
+    return history.log(*_graph(s, d), [_tips(s, d)[0]], first_parent=True).select("commit")
 
 
-@register("log_topological", f"WITH RECURSIVE {COMMITS}, {_reach(9990)} SELECT c AS commit FROM up")
+@register("log_topological", f"WITH RECURSIVE {COMMITS}, {_reach(TIP)} SELECT c AS commit FROM up")
 def _(s, d):
-    return history.log(*_graph(s, d), [9990], topo=True).select("commit")
+    return history.log(*_graph(s, d), [_tips(s, d)[0]], topo=True).select("commit")
 
 
 @register("log_path_changes", f"WITH {VERSIONS}, w AS (SELECT fid, commit, event_type, level, lag(event_type) OVER (PARTITION BY fid ORDER BY ts, commit) AS e0, lag(level) OVER (PARTITION BY fid ORDER BY ts, commit) AS l0 FROM v) SELECT commit, fid FROM w WHERE event_type IS DISTINCT FROM e0 OR level IS DISTINCT FROM l0")
@@ -541,15 +547,15 @@ def _(s, d):
     return history.touched_paths(versions(s, d), KEY, ["event_type", "level"])
 
 
-@register("merge_base", f"WITH RECURSIVE {COMMITS}, {_reach(9990, 'a')}, {_reach(7770, 'b')}, k AS (SELECT c FROM a INTERSECT SELECT c FROM b), low(c) AS (SELECT e.p FROM edge e JOIN k ON e.c = k.c UNION SELECT e.p FROM edge e JOIN low ON e.c = low.c) SELECT n.commit FROM node n WHERE n.commit IN (SELECT c FROM k) AND n.commit NOT IN (SELECT c FROM low) ORDER BY n.ts DESC LIMIT 1")
+@register("merge_base", f"WITH RECURSIVE {COMMITS}, {_reach(TIP, 'a')}, {_reach(OTHER, 'b')}, k AS (SELECT c FROM a INTERSECT SELECT c FROM b), low(c) AS (SELECT e.p FROM edge e JOIN k ON e.c = k.c UNION SELECT e.p FROM edge e JOIN low ON e.c = low.c) SELECT n.commit FROM node n WHERE n.commit IN (SELECT c FROM k) AND n.commit NOT IN (SELECT c FROM low) ORDER BY n.ts DESC LIMIT 1")
 def _(s, d):
     c, g = _graph(s, d)
-    return s.createDataFrame([(g.merge_base(9990, 7770),)], "commit long")
+    return s.createDataFrame([(g.merge_base(*_tips(s, d)[:2]),)], "commit long")
 
 
-@register("ahead_behind", f"WITH RECURSIVE {COMMITS}, {_reach(9990, 'a')}, {_reach(7770, 'b')} SELECT (SELECT count(*) FROM a WHERE c NOT IN (SELECT c FROM b)) AS ahead, (SELECT count(*) FROM b WHERE c NOT IN (SELECT c FROM a)) AS behind")
+@register("ahead_behind", f"WITH RECURSIVE {COMMITS}, {_reach(TIP, 'a')}, {_reach(OTHER, 'b')} SELECT (SELECT count(*) FROM a WHERE c NOT IN (SELECT c FROM b)) AS ahead, (SELECT count(*) FROM b WHERE c NOT IN (SELECT c FROM a)) AS behind")
 def _(s, d):
-    return s.createDataFrame([_graph(s, d)[1].ahead_behind(9990, 7770)], "ahead long, behind long")
+    return s.createDataFrame([_graph(s, d)[1].ahead_behind(*_tips(s, d)[:2])], "ahead long, behind long")
 
 
 @register("commit_at_date", "SELECT CAST(event_id AS BIGINT) AS commit, ts FROM events WHERE ts < TIMESTAMP '2024-01-15 12:00:00' ORDER BY ts DESC, event_id DESC LIMIT 1")
