@@ -150,11 +150,26 @@ def _stretches(data: bytes, word: np.ndarray):
         at = end
 
 
-def split_words(texts: list[bytes], lower: bool = True, word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b".,;:!?")] = True
+
+
+def _endings(part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The last three bytes of each word, without the marks that end it, as a number."""
+    last = np.maximum.accumulate(np.where(_MARK[part], -1, np.arange(len(part), dtype=np.int64)))[end - 1]
+    out = np.zeros(len(begin), dtype=np.uint64)
+    for back in range(3):
+        at = last - back
+        out = (out << np.uint64(8)) | np.where(at >= begin, part[np.maximum(at, 0)], 0).astype(np.uint64)
+    return out
+
+
+def split_words(texts: list[bytes], lower: bool = True, word: np.ndarray = NOT_SPACE, ending_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, cuts): a 64-bit hash of each word of each text, in order; words cuts[n] to cuts[n + 1] are of text n.
 
     Words are runs of the bytes that ``word`` marks; ``lower`` lower-cases A-Z first. A word's hash is the sum, over its
-    bytes, of the byte's code times the place's code, spread at the end.
+    bytes, of the byte's code times the place's code, spread at the end. With ``ending_bits``, so many last bits are
+    instead a hash of the word's last three bytes before the marks that end it.
     """
     data = b" ".join(texts) + b" "
     if lower:
@@ -177,7 +192,10 @@ def split_words(texts: list[bytes], lower: bool = True, word: np.ndarray = NOT_S
         longest = 1 << int(size.max()).bit_length()
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(codes[part[inside]] * _place_codes(longest)[place], first)
-            hashes.append(mix(sums + size.astype(np.uint64)))
+            found = mix(sums + size.astype(np.uint64))
+        if ending_bits:
+            found = (found >> np.uint64(ending_bits) << np.uint64(ending_bits)) | (mix(_endings(part, begin, begin + size) + np.uint64(1)) >> np.uint64(64 - ending_bits))
+        hashes.append(found)
         begins.append(begin + at)
     if not hashes:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)

@@ -9,8 +9,9 @@ the score through a join by word. A text is its words and an end token.
 Training: the start is the symbols' counts in all training documents, disturbed at random by state, with states that
 tend to stay; no sample is drawn. Then each of ``ROUNDS`` Baum-Welch rounds runs over every token of all training
 documents: tasks compute expected counts by scaled forward and backward recursions and add them up, the sums of the
-partitions are added by chunk, and the new tables are broadcast. For learning, a text of over ``PIECE`` tokens is
-several sequences. The score is the forward recursion's exact likelihood.
+partitions are added by chunk, and the new tables are broadcast. A text of over ``PIECE`` tokens is worked on in pieces,
+between which both recursions are carried over, so it stays one sequence. The score is the forward recursion's exact
+likelihood.
 
 Words are told apart by 64-bit hashes.
 """
@@ -19,74 +20,63 @@ from __future__ import annotations
 
 import math
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import NULL_ID, WordHashes, byte_list, identified, real_id, stored
+from palimpsest.llm.common import NULL_ID, byte_list, groups_of, identified, real_id, split_words, stored
 
 HEAD, TAILS, STATES, ROUNDS = 1 << 15, 1 << 12, 6, 14
 
 #: The end token's code; no word has it but by a chance of 2**-64.
 END = -0x5EED
 
-#: Recursions run over groups of documents of similar length, of about so many tokens; training texts are cut at PIECE.
-GROUP, PIECE = 400_000, 1 << 16
+#: Recursions run over groups of documents of similar length, of about so many tokens; longer texts than PIECE go alone.
+GROUP, PIECE = 800_000, 1 << 16
+
+#: Steps between two scalings.
+SCALED = 8
 
 
 def held_out(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % 5 == 1
 
 
-class WordCodes(WordHashes):
-    """64-bit code by word: 52 bits of hash, then 12 bits that name the tail symbol, from the word's last letters."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = (xxhash.xxh3_64_intdigest(word) - (1 << 63) & ~(TAILS - 1)) | zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % TAILS
-        if len(self) < self.LIMIT and len(word) < 64:
-            self[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-
-
-@cache
-def word_codes() -> WordCodes:
-    """One table a worker process, kept from task to task."""
-    return WordCodes()
+def word_codes(texts: list[bytes]):
+    """The codes of each text's words and end: 52 bits of hash, then 12 that name the tail symbol, by last letters."""
+    for lo, hi in groups_of(texts):
+        h, cuts = split_words(texts[lo:hi], ending_bits=TAILS.bit_length() - 1)
+        h = h.view(np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield np.append(h[a:b], END)
 
 
 def _counted(batches):
     """Codes and counts, added up in the task."""
-    table, held, parts, size = word_codes(), {}, [], 0
+    keys, counts, parts, size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
 
-    def add():
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-            held[k] = held.get(k, 0) + c
+    def added():
+        own, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (keys[:0], counts[:0])
+        both, where = np.unique(np.concatenate([keys, own]), return_inverse=True)
+        return both, np.bincount(where, np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
 
     def emit():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["h", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["h", "c"])
 
     for batch in batches:
-        for text in byte_list(batch.column(1)):
-            h = table.of(text.lower().split())
-            parts.append(np.append(h, END))
-            size += len(h) + 1
+        for codes in word_codes(byte_list(batch.column(1))):
+            parts.append(codes)
+            size += len(codes)
             if size > 1_000_000:
-                add()
+                keys, counts = added()
                 parts, size = [], 0
-                if len(held) > 600_000:
+                if len(keys) > 600_000:
                     yield emit()
-                    held = {}
-    if parts:
-        add()
-    if held:
+                    keys, counts = keys[:0], counts[:0]
+    keys, counts = added()
+    if len(keys):
         yield emit()
 
 
@@ -99,7 +89,7 @@ class Vocabulary:
     def encode(self, codes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.codes, codes)
         at[at == len(self.codes)] = 0
-        return np.where(self.codes[at] == codes, self.symbols[at], HEAD + (codes & (TAILS - 1)))
+        return np.where(self.codes[at] == codes, self.symbols[at], len(self.head_log) + (codes & (TAILS - 1)))
 
 
 def _encoded(vocabulary):
@@ -107,16 +97,15 @@ def _encoded(vocabulary):
     that tables of fixed size give: the head's base score, and the logarithms of the tail symbols' masses."""
 
     def scan(batches):
-        table, v = word_codes(), vocabulary.value
+        v = vocabulary.value
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), strict=True):
-                codes = np.append(table.of(text.lower().split()), END)
+            for doc_id, codes in zip(batch.column(0).to_pylist(), word_codes(byte_list(batch.column(1))), strict=True):
                 symbols = v.encode(codes)
-                tail = symbols >= HEAD
+                tail = symbols >= len(v.head_log)
                 h, n = np.unique(codes[tail], return_counts=True)
                 n_tail = int(tail.sum())
-                rows.append((doc_id, symbols.astype("<u2").tobytes(), h.tobytes(), n.astype("<i4").tobytes(), len(codes), n_tail, float(v.head_log[symbols[~tail]].sum()), float(v.tail_log[symbols[tail] - HEAD].sum())))
+                rows.append((doc_id, symbols.astype("<u2").tobytes(), h.tobytes(), n.astype("<i4").tobytes(), len(codes), n_tail, float(v.head_log[symbols[~tail]].sum()), float(v.tail_log[symbols[tail] - len(v.head_log)].sum())))
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "symbols", "tails", "times", "n_tokens", "n_tail", "head_base", "tail_mass"])
 
@@ -141,7 +130,8 @@ def groups(docs: list[np.ndarray]):
     order = sorted(range(len(docs)), key=lambda n: -len(docs[n]))
     held: list[int] = []
     for n in order:
-        if held and (len(held) * len(docs[held[0]]) > GROUP or len(docs[n]) * 2 < len(docs[held[0]])):
+        longest = len(docs[held[0]]) if held else 0
+        if held and (len(held) * longest > GROUP or len(docs[n]) * 2 < longest or longest > PIECE >= len(docs[n])):
             yield held
             held = []
         held.append(n)
@@ -149,57 +139,120 @@ def groups(docs: list[np.ndarray]):
         yield held
 
 
-def recursions(tables: Tables, docs: list[np.ndarray], learn: bool):
-    """(log-likelihoods, expected counts or None) of symbol sequences, a step for all documents of a group at once.
+class Recursions:
+    """Scaled forward and backward recursions, a step for all documents of a group at once.
 
-    Rows stand longest first, so at step t the first ``alive[t]`` rows go on.
+    Rows stand longest first, so at step t the first ``alive[t]`` rows go on; a table has a line for each token, by step
+    and then by row. Forward probabilities are scaled every ``SCALED`` steps, in which they can't vanish: for learning,
+    emissions are first divided by the symbol's largest.
     """
-    k = len(tables.start)
-    out = np.zeros(len(docs))
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((len(tables.emit), k)) if learn else None
-    kind = np.float32 if learn else np.float64
-    a, emission = tables.move.astype(kind), tables.emit.astype(kind)
-    for group in groups(docs):
-        sizes = np.array([len(docs[n]) for n in group])
-        longest = int(sizes[0])
-        alive = len(group) - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
+
+    def __init__(self, tables: Tables, learn: bool):
+        kind = np.float32 if learn else np.float64
+        self.learn, self.a, self.start = learn, tables.move.astype(kind), tables.start.astype(kind)
+        self.emission, self.top = tables.emit.astype(kind), None
+        if learn:
+            self.top = self.emission.max(axis=1)
+            self.emission /= np.where(self.top > 0, self.top, 1)[:, None]
+            k = len(self.start)
+            self.counts = np.zeros(k), np.zeros((k, k)), np.zeros((len(self.emission), k))
+
+    def forward(self, docs: list[np.ndarray], first: np.ndarray):
+        """(log-likelihoods, last forward probabilities, tables) of documents, longest first; ``first`` has each row's
+        state probabilities before its first token. The tables (forward, emissions with scales) are for learning."""
+        sizes = np.array([len(d) for d in docs])
+        alive = len(docs) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
         cuts = np.concatenate([[0], np.cumsum(alive)])
-        symbols = np.empty(cuts[-1], dtype=np.int64)  # by step, then by row
-        for row, n in enumerate(group):
-            symbols[cuts[: len(docs[n])] + row] = docs[n]
-        b = emission[symbols] if learn else None
-        alpha = np.empty((cuts[-1], k), dtype=kind) if learn else None
-        scale, ones = np.empty(cuts[-1], dtype=kind), np.ones(k, dtype=kind)
-        now = np.broadcast_to(tables.start.astype(kind), (len(group), k))
-        for t in range(longest):
-            lo, hi = cuts[t], cuts[t + 1]
-            now = (now if t == 0 else now[: hi - lo] @ a) * (b[lo:hi] if learn else emission[symbols[lo:hi]])
-            s = now @ ones
-            now = now / s[:, None]
-            scale[lo:hi] = s
-            if learn:
-                alpha[lo:hi] = now
-        logs = np.log(scale.astype(np.float64))
-        rows = np.arange(cuts[-1]) - np.repeat(cuts[:-1], alive)
-        out[group] = np.bincount(rows, logs, minlength=len(group))
-        if not learn:
-            continue
-        gamma = alpha  # becomes alpha * beta in place, from the last step back
-        beta = np.ones((len(group), k), dtype=np.float32)
-        b /= scale[:, None]
-        steps = np.zeros((k, k))
-        for t in range(longest - 2, -1, -1):
-            lo, mid, hi = cuts[t], cuts[t + 1], cuts[t + 2]
-            n = hi - mid
-            right = b[mid:hi] * beta[:n]
-            steps += alpha[lo : lo + n].T @ right
-            beta[:n] = right @ a.T
-            gamma[lo : lo + n] *= beta[:n]  # rows that end at t have beta 1
-        move += steps * a
-        start += gamma[: alive[0]].sum(axis=0)
-        for state in range(k):
-            emit[:, state] += np.bincount(symbols, gamma[:, state], minlength=len(emit))
-    return out, (start, move, emit) if learn else None
+        symbols = np.empty(cuts[-1], dtype=np.int64)
+        for row, d in enumerate(docs):
+            symbols[cuts[: len(d)] + row] = d
+        b, at, logs, last = np.take(self.emission, symbols, axis=0), cuts.tolist(), np.zeros(len(docs)), np.empty_like(first)
+        held = np.empty_like(b) if self.learn else None
+        now = first
+        for t in range(len(alive)):
+            lo, hi = at[t], at[t + 1]
+            n = hi - lo
+            if t:
+                now = now[:n] @ self.a
+            now = np.multiply(now, b[lo:hi], out=held[lo:hi] if self.learn else None)
+            if t % SCALED == SCALED - 1:
+                s = now.sum(axis=1)
+                logs[:n] += np.log(s)
+                now /= s[:, None]
+                if self.learn:
+                    b[lo:hi] /= s[:, None]
+            if t + 2 == len(at) or at[t + 2] - hi < n:  # rows that end here
+                end = at[t + 2] - hi if t + 2 < len(at) else 0
+                last[end:n] = now[end:]
+        logs += np.log(last.sum(axis=1))
+        if self.learn:
+            rows = np.arange(cuts[-1]) - np.repeat(cuts[:-1], alive)
+            logs += np.bincount(rows, np.log(self.top[symbols]), minlength=len(docs))
+        return logs, last, (symbols, alive, cuts, held, b)
+
+    def backward(self, sizes: np.ndarray, last: np.ndarray, state: tuple, after: np.ndarray) -> np.ndarray:
+        """Adds the expected counts; ``after`` has each row's backward probabilities at its end. Returns, by row, the
+        first token's emissions times its backward probabilities."""
+        symbols, alive, cuts, alpha, b = state
+        beta, at = np.empty_like(alpha), cuts.tolist()
+        beta[cuts[sizes - 1] + np.arange(len(sizes))] = after / (last * after).sum(axis=1)[:, None]
+        back = np.ascontiguousarray(self.a.T)
+        for t in range(len(alive) - 2, -1, -1):
+            lo, mid, hi = at[t], at[t + 1], at[t + 2]
+            right = b[mid:hi]
+            right *= beta[mid:hi]
+            np.matmul(right, back, out=beta[lo : lo + hi - mid])
+        start, move, emit = self.counts
+        before = np.arange(cuts[1], cuts[-1]) - np.repeat(alive[:-1], alive[1:])
+        for k in range(0, len(before), 1 << 16):  # sums of single precision, in parts
+            move += np.take(alpha, before[k : k + (1 << 16)], axis=0).T @ b[cuts[1] + k : cuts[1] + k + (1 << 16)] * self.a
+        gamma = np.multiply(alpha, beta, out=alpha)
+        for k in range(len(self.start)):
+            emit[:, k] += np.bincount(symbols, gamma[:, k], minlength=len(emit))
+        self.first_gamma = gamma[: alive[0]].sum(axis=0)
+        return b[: alive[0]] * beta[: alive[0]]
+
+    def whole(self, docs: list[np.ndarray]) -> np.ndarray:
+        first = np.broadcast_to(self.start, (len(docs), len(self.start)))
+        logs, last, state = self.forward(docs, first)
+        if self.learn:
+            self.backward(np.array([len(d) for d in docs]), last, state, np.ones_like(last))
+            self.counts[0][:] += self.first_gamma
+        return logs
+
+    def in_pieces(self, doc: np.ndarray) -> float:
+        """A long document, with both recursions carried from piece to piece."""
+        pieces = [doc[i : i + PIECE] for i in range(0, len(doc), PIECE)]
+        firsts, ends, total = [self.start[None, :]], [], 0.0
+        for piece in pieces:
+            logs, last, _ = self.forward([piece], firsts[-1])
+            total += float(logs[0])
+            ends.append(last / last.sum())
+            firsts.append(ends[-1] @ self.a)
+        if self.learn:
+            after = np.ones_like(self.start)[None, :]
+            for n in range(len(pieces) - 1, -1, -1):
+                _, last, state = self.forward([pieces[n]], firsts[n])
+                right = self.backward(np.array([len(pieces[n])]), last, state, after)
+                if n:
+                    step = ends[n - 1].T @ right * self.a
+                    self.counts[1][:] += step / step.sum()
+                    after = right @ self.a.T
+                    after /= after.sum()
+            self.counts[0][:] += self.first_gamma
+        return total
+
+
+def recursions(tables: Tables, docs: list[np.ndarray], learn: bool):
+    """(log-likelihoods, expected counts or None) of symbol sequences."""
+    work, out = Recursions(tables, learn), np.zeros(len(docs))
+    for group in groups(docs):
+        if len(docs[group[0]]) > PIECE:
+            for n in group:
+                out[n] = work.in_pieces(docs[n])
+        else:
+            out[group] = work.whole([docs[n] for n in group])
+    return out, work.counts if learn else None
 
 
 def _batches_of(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
@@ -212,8 +265,7 @@ def _expected(tables):
     def scan(batches):
         total = None
         for batch in batches:
-            docs = [d[i : i + PIECE] for d in _batches_of(batch, "symbols") for i in range(0, len(d), PIECE)]
-            _, counts = recursions(tables.value, docs, True)
+            _, counts = recursions(tables.value, _batches_of(batch, "symbols"), True)
             total = counts if total is None else tuple(x + y for x, y in zip(total, counts, strict=True))
         if total is not None:
             start, move, emit = total
@@ -258,6 +310,35 @@ def _tails(batches):
         )
 
 
+def most_frequent(counts: DataFrame, n: int) -> list:
+    """The n rows (h, c) with the largest c, ties by smaller h, in that order.
+
+    Histograms first say which rows can be among them, so that the driver gets about n rows and not n of every task.
+    """
+    c, h = F.col("c"), F.col("h")
+    level = F.when(c < 1024, c).otherwise(1024 + F.floor(F.log2(c.cast("double")) * 64)).cast("long")
+    least, rest = _bound(counts.groupBy(level.alias("b")).count().collect(), n, -1)
+    if least is None:
+        return sorted(counts.collect(), key=lambda r: (-r["c"], r["h"]))
+    rows = counts.where(level > least).collect()
+    edge = counts.where(level == least)
+    if least < 1024:  # one count, of which as many may have it as there are words
+        place = F.shiftright(h, 50)
+        most, _ = _bound(edge.groupBy(place.alias("b")).count().collect(), rest, 1)
+        edge = edge.where(place <= most) if most is not None else edge
+    return sorted(rows + edge.collect(), key=lambda r: (-r["c"], r["h"]))[:n]
+
+
+def _bound(histogram: list, n: int, sign: int) -> tuple[int | None, int]:
+    """(bin in which the n-th row lies, rows still wanted there), by rising bins, or falling ones with sign -1; the bin
+    is None where there are no more than n rows."""
+    for row in sorted(histogram, key=lambda r: sign * r["b"]):
+        if n <= row["count"]:
+            return row["b"], n
+        n -= row["count"]
+    return None, n
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -270,7 +351,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     train = (F.col("doc_id") == NULL_ID) | ~held_out()
     counts = stored(rows.where(train).mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
     total, distinct, end_count = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("h") == END, F.col("c"))), F.lit(0))).first()
-    top = counts.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(HEAD - 1).collect()
+    top = most_frequent(counts.where(F.col("h") != END), HEAD - 1)
     # Where the head is full, its last word says which others are in the tail; ties go by code, as in the order above.
     least, last = (top[-1]["c"], top[-1]["h"]) if len(top) == HEAD - 1 else (0, END)
     tail_words = counts.where((F.col("h") != END) & ((F.col("c") < least) | ((F.col("c") == least) & (F.col("h") > last))))

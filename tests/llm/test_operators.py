@@ -182,7 +182,7 @@ def test_language_model_learns_from_every_token(spark):
     words = {i: t.split() for i, t in rows}
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     counts = Counter(w for i in train for w in words[i])
-    code = {w: int(hmm_lm.word_codes().of([w.encode()])[0]) for w in counts}
+    code = {w: int(next(hmm_lm.word_codes([w.encode()]))[0]) for w in counts}
     symbol = {w: n + 1 for n, w in enumerate(sorted(counts, key=lambda w: (-counts[w], code[w])))}
     base = np.full(hmm_lm.HEAD + hmm_lm.TAILS, 0.5)
     base[: len(counts) + 1] += [len(train), *(counts[w] for w in symbol)]
@@ -198,6 +198,51 @@ def test_language_model_learns_from_every_token(spark):
         assert got[i] == pytest.approx(w / math.log(10), rel=2e-3)
 
 
+def test_recursions_carry_over_pieces(monkeypatch):
+    """A long text's likelihood and counts are the same in one piece and in many."""
+    rng = np.random.default_rng(5)
+    k, symbols = 4, 50
+    one = lambda *shape: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(shape) ** 4)
+    tables = hmm_lm.Tables(one(k), one(k, k), one(k, symbols).T.astype(np.float64))
+    docs = [rng.integers(0, symbols, n) for n in (1000, 3, 333, 64, 65, 1)]
+    whole, counts = hmm_lm.recursions(tables, docs, True)
+    exact, _ = hmm_lm.recursions(tables, docs, False)
+    monkeypatch.setattr(hmm_lm, "PIECE", 64)
+    parts, own = hmm_lm.recursions(tables, docs, True)
+    assert parts == pytest.approx(whole, rel=1e-4) and hmm_lm.recursions(tables, docs, False)[0] == pytest.approx(exact, rel=1e-9)
+    for x, y in zip(counts, own, strict=True):
+        assert y == pytest.approx(x, rel=1e-3, abs=1e-3)
+
+
+@pytest.mark.parametrize("n", [1, 50, 400, 2000])
+def test_most_frequent(spark, n):
+    """Ties at the border, by smaller code, among small and large counts."""
+    rng = random.Random(n)
+    rows = list({rng.randrange(-(1 << 63), 1 << 63): rng.choice([1, 1, 1, 2, 3, 7, 1500, 1501, 1502, 10**6]) for _ in range(900)}.items())
+    got = hmm_lm.most_frequent(spark.createDataFrame(rows, "h long, c long"), n)
+    assert [(r["h"], r["c"]) for r in got] == sorted(rows, key=lambda r: (-r[1], r[0]))[:n]
+
+
+def test_language_model_odd_rows(spark):
+    """Null and repeated doc_ids are scored each; a full head leaves the other words to the tail."""
+    docs = spark.createDataFrame([(None, "a b", 1), (None, None, 2), (3, "a b", 3), (3, "a b", 4), (4, "c " * 66_000, 5)], "doc_id long, text string, row int")
+    got = hmm_lm.score(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == [("3", 3), ("3", 3), ("4", 66_001), ("None", 1), ("None", 3)]
+    assert all(-math.inf < r["score"] < 0 for r in got)
+
+
+def test_language_model_with_a_full_head(spark, corpus, monkeypatch):
+    """With a head of 64 symbols nearly all words are in the tail, and the base score is still exact."""
+    monkeypatch.setattr(hmm_lm, "HEAD", 64)
+    got = {r["doc_id"]: r for r in hmm_lm.score(table(spark, corpus)).collect()}
+    tokens = {i: t.encode().lower().split() + [None] for i, t in corpus}
+    counts = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
+    total = sum(counts.values())
+    for i, t in tokens.items():
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in t), rel=1e-9)
+        assert got[i]["n_known"] == sum(counts[w] > 0 for w in t)
+
+
 def test_forward_recursion_is_exact():
     """Against a plain sum over all state paths."""
     import itertools
