@@ -2,8 +2,9 @@
 
 A forest of messages (tree, message, parent) is turned into its root-to-leaf paths by iterative self-joins that double
 their reach: after k joins each message knows its ancestor 2^k replies up, so a path of n messages takes about log2 n
-joins. From each leaf the same tables are applied from the longest jump to the shortest, which yields every ancestor
-once. Branches of a tree are ranked by the mean score of their messages, and each chosen branch becomes one string.
+joins. A jump also carries the scores of the messages it passes, so a leaf adds up its path in one row, and branches of a
+tree are ranked, by the mean score of their messages, before any path is listed. From each chosen leaf the tables are
+applied from the longest jump to the shortest, which yields every ancestor once, and its path becomes one string.
 
 Template: each turn is ``<s>[INST] role [/INST]text</s>``. A control string inside a role or text (``<s>``, ``</s>``,
 ``[INST]``, ``[/INST]``) gets one backslash after its first character, as does one that already has backslashes
@@ -31,39 +32,67 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, *UNESCAPE)
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, message, depth): every message of each root-to-leaf path, depth 0 at the root.
+def single(messages: DataFrame, *columns: str) -> DataFrame:
+    """One row of each (tree, message), without null ones: of those that repeat, the smallest by parent, score and then
+    the other ``columns``, nulls first."""
+    rest = ("parent", "score", *columns)
+    rows = messages.where("tree is not null and message is not null")
+    return rows.groupBy("tree", "message").agg(F.min(F.struct(*rest)).alias("m")).select("tree", "message", *(F.col(f"m.{c}").alias(c) for c in rest))
 
-    ``messages`` has tree, message and parent (null at a root). A parent that is not in the tree makes its child a
-    root. Replies in a circle have no leaf or never end at a root, and are left out.
+
+def jumps_of(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(jumps, leaves). Jump table k has (tree, message, up, total): the ancestor 2^k replies up, and the scores of the
+    2^k messages before it; only messages that the jump leads somewhere are there. Leaves: (tree, message, score).
+
+    A parent that is not in the tree makes its child a root. Replies in a circle have no leaf or never end at a root,
+    and are left out.
     """
-    nodes = messages.select("tree", "message", "parent")
+    nodes = messages.select("tree", "message", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select("tree", F.col("message").alias("parent"), F.lit(True).alias("there"))
-    up = stored(nodes.join(known, ["tree", "parent"], "left").select("tree", "message", F.when(F.col("there"), F.col("parent")).alias("up")), "replies")
-    jumps = [up.where("up is not null")]  # each table has only the messages that the jump leads somewhere
+    up = stored(nodes.join(known, ["tree", "parent"], "left").select("tree", "message", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total")), "replies")
+    jumps = [up.where("up is not null")]
     size = up.count()
     while 1 << (len(jumps) - 1) < max(1, size) and jumps[-1].limit(1).count():
         last = jumps[-1]
-        further = last.select("tree", F.col("message").alias("up"), F.col("up").alias("next"))
-        jumps.append(stored(last.join(further, ["tree", "up"]).select("tree", "message", F.col("next").alias("up")), "jumps"))
+        further = last.select("tree", F.col("message").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"))
+        jumps.append(stored(last.join(further, ["tree", "up"]).select("tree", "message", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")), "jumps"))
     circles = jumps[-1].select("tree", "message")
     parents = jumps[0].select("tree", F.col("up").alias("message")).distinct()
-    leaves = up.select("tree", "message").join(parents, ["tree", "message"], "left_anti").join(circles, ["tree", "message"], "left_anti")
-    found = leaves.select("tree", F.col("message").alias("leaf"), "message", F.lit(0).alias("height"))
-    for k in range(len(jumps) - 2, -1, -1):
-        found = found.join(jumps[k], ["tree", "message"], "left")
-        found = found.select("tree", "leaf", F.inline(F.when(F.col("up").isNull(), F.array(F.struct("message", "height"))).otherwise(F.array(F.struct("message", "height"), F.struct(F.col("up").alias("message"), (F.col("height") + (1 << k)).alias("height"))))))
+    leaves = up.select("tree", "message", F.col("total").alias("score")).join(parents, ["tree", "message"], "left_anti").join(circles, ["tree", "message"], "left_anti")
+    return jumps[:-1], leaves
+
+
+def walked_leaves(jumps: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, root, sum, n): the messages on each leaf's path, and the sum of their scores but the root's."""
+    walk = leaves.select("tree", F.col("message").alias("leaf"), "message", F.lit(0.0).alias("sum"), F.lit(1).alias("n"))
+    for k in range(len(jumps) - 1, -1, -1):
+        walk = walk.join(jumps[k], ["tree", "message"], "left")
+        there = F.col("up").isNotNull()
+        walk = walk.select("tree", "leaf", F.coalesce("up", "message").alias("message"), (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"), (F.col("n") + F.when(there, 1 << k).otherwise(0)).alias("n"))
+    return walk.select("tree", "leaf", F.col("message").alias("root"), "sum", "n")
+
+
+def listed(jumps: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, rank, message, height): every message of the path of each leaf (tree, leaf, rank)."""
+    found = leaves.select("tree", "leaf", "rank", F.col("leaf").alias("message"), F.lit(0).alias("height"))
+    for k in range(len(jumps) - 1, -1, -1):
+        found = found.join(jumps[k].select("tree", "message", "up"), ["tree", "message"], "left")
+        here, there = F.struct("message", "height"), F.struct(F.col("up").alias("message"), (F.col("height") + (1 << k)).alias("height"))
+        found = found.select("tree", "leaf", "rank", F.inline(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))))
     return found
 
 
 def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, message, height): the best branches of each tree by mean score, ties by smaller leaf.
 
-    A null score counts as 0. ``best`` None keeps every branch. Height counts from the leaf, which has 0.
+    A null score counts as 0. ``best`` None keeps every branch. Height counts from the leaf, which has 0. Rows that
+    repeat a (tree, message) count once; an empty table has no branches; a null tree or message is left out.
     """
-    found = paths(messages).join(messages.select("tree", "message", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "message"])
-    found = stored(found, "branches")
-    scored = found.groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    messages = single(messages)
+    jumps, leaves = jumps_of(messages)
+    walked = walked_leaves(jumps, leaves)
+    roots = messages.select("tree", F.col("message").alias("root"), F.coalesce("score", F.lit(0.0)).alias("last"))
+    scored = walked.join(roots, ["tree", "root"]).select("tree", "leaf", ((F.col("sum") + F.col("last")) / F.col("n")).alias("score"))
     order = F.struct(F.col("score"), (-F.col("leaf")).alias("leaf"))
     if best == 1:  # summed up before the shuffle, however many leaves a tree has
         chosen = scored.groupBy("tree").agg(F.max(order).alias("m")).select("tree", (-F.col("m.leaf")).alias("leaf"), F.lit(1).alias("rank"))
@@ -71,15 +100,16 @@ def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
         chosen = ranked.where(F.col("rank") <= best) if best else ranked
         chosen = chosen.select("tree", "leaf", "rank")
-    return found.join(chosen, ["tree", "leaf"]).select("tree", "leaf", "rank", "message", "height")
+    return listed(jumps, stored(chosen, "chosen"))
 
 
 def formatted(messages: DataFrame, best: int | None = 1, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(tree, leaf, rank, formatted, loss_spans): one string per chosen branch.
 
-    ``messages``: tree, message, parent, role, text, score. Null roles and texts are empty.
+    ``messages``: tree, message, parent, role, text, score. Null roles and texts are empty; rows that repeat a (tree,
+    message) count once; other columns are not looked at.
     """
-    body = messages.select("tree", "message", escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
+    body = single(messages, "role", "text").select("tree", "message", escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
     turns = branches(messages, best).join(body, ["tree", "message"])
     turns = turns.withColumn("head", F.concat(F.lit(BEGIN), "role", F.lit(CLOSE)))
     turn = F.struct((-F.col("height")).alias("at"), "head", "text", F.length("head").alias("head_chars"), F.length("text").alias("text_chars"), F.col("role").isin(*trained).alias("loss"))

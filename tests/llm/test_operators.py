@@ -536,6 +536,35 @@ def test_chat_format(spark):
     assert every.where("rank = 1").select("tree").distinct().count() == len(paths)
 
 
+def test_chat_format_odd_rows(spark):
+    """Repeated messages count once, the smallest by parent, score, role and text; ties go to the smaller leaf."""
+    rows = [(1, 1, None, "user", "root", 0.5), (1, 1, None, "user", "root", 0.5), (1, 1, None, "user", "later", 0.5), (1, 2, 1, "assistant", "reply", 0.5), (1, 2, 1, "assistant", "reply", None)]
+    rows += [(2, 1, None, "user", "a", 0.0), (2, 2, 1, "assistant", "b", 1.0), (2, 3, 1, "assistant", "c", 1.0), (2, None, 1, "user", "x", 9.0), (None, 1, None, "user", "x", 1.0), (3, 1, None, None, None, None)]
+    messages = spark.createDataFrame([(*r, 0, "h") for r in rows], MESSAGES + ", rank int, head string")
+    got = {r["tree"]: r for r in chat_format.read_back(chat_format.formatted(messages)).collect()}
+    assert {t: [tuple(x) for x in r["turns"]] for t, r in got.items()} == {1: [("user", "later"), ("assistant", "reply")], 2: [("user", "a"), ("assistant", "b")], 3: [("", "")]}
+    assert chat_format.formatted(messages.limit(0)).count() == 0
+    assert {(r["tree"], r["leaf"], r["rank"]) for r in chat_format.branches(messages, 5).select("tree", "leaf", "rank").collect()} == {(1, 2, 1), (2, 2, 1), (2, 3, 2), (3, 1, 1)}
+
+
+def test_chat_branches_of_a_comb(spark):
+    """A chain with a leaf at each message: only the chosen path is listed."""
+    n = 120
+    rows = [(1, m, m - 1 if m else None, "user", str(m), 1.0) for m in range(n)] + [(1, n + m, m, "user", "leaf", m / n) for m in range(n)]
+    got = chat_format.branches(spark.createDataFrame(rows, MESSAGES)).collect()
+    # The mean of a leaf's path is largest where the chain is longest.
+    assert {r["leaf"] for r in got} == {2 * n - 1} and len(got) == n + 1
+
+
+def test_chat_threads_and_digests(spark):
+    rows = [(7, 2, "assistant", "<s>"), (7, 1, "user", None), (7, 1, "user", "again"), (None, 1, "user", "nowhere"), (8, None, None, "x")]
+    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.formatted(chat_format.threads(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, score int")))).collect()}
+    assert set(got) == {7, 8} and got[7]["n_turns"] == 3 and got[8]["n_turns"] == 1
+    assert got[7]["turns_sha256"] == hashlib.sha256(b"user\n\nuser\nagain\nassistant\n<s>\n").hexdigest()
+    assert (got[7]["loss_chars"], got[7]["loss_sha256"]) == (3, hashlib.sha256(b"<s>").hexdigest())
+    assert got[7]["formatted_chars"] == sum(len(f"<s>[INST] {r} [/INST]{t}</s>") for r, t in [("user", ""), ("user", "again"), ("assistant", "<\\s>")])
+
+
 def test_quality(spark):
     rng = random.Random(12)
     rows, ratings = [], []
