@@ -35,7 +35,7 @@ class Buckets(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > 400_000:
             self.clear()
-        shape = _DIGITS.sub(b"0", _LETTERS.sub(b"a", word))[:16]
+        shape = _DIGITS.sub(b"0", _LETTERS.sub(b"a", word))
         found = (zlib.crc32(word.lower()) % (_SIZE - _STATS), zlib.crc32(b"\0" + shape) % (_SIZE - _STATS))
         if len(word) < 64:
             self[word] = found
