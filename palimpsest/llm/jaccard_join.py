@@ -405,6 +405,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         queries = stored(found.where("more > 0").select(F.col("a").alias("doc_id")).distinct().withColumn("open", F.lit(True)), "open")
         tested = pairs if tested is None else tested.unionByName(pairs)
+        lists = stored(postings.join(small_enough(queries), "doc_id", "left_semi").select("token").distinct(), "lists")
+        postings = stored(postings.join(small_enough(lists), "token", "left_semi"), "postings")  # no later pass needs other lists
         asking = postings.join(small_enough(roots.withColumnRenamed("node", "doc_id")), "doc_id", "left").join(small_enough(queries), "doc_id", "left")
         asking = asking.withColumn("root", F.coalesce("root", "doc_id")).withColumn("open", F.coalesce("open", F.lit(False)))
         number = PASSES if rest <= FULL_PASS else number + 1
