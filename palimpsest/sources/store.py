@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,20 @@ from pyspark.sql import functions as F
 from palimpsest.functions.identity import bucket_digests, hash_bucket, object_id
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder of repositories that queries build: in ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, on one machine, a temporary folder is made and set; on any other master that is an error.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/repositories"
+
+
 class Store:
     """A folder with ``meta.json`` and ``layers/<snapshot id>/``; snapshots are never changed once written."""
 

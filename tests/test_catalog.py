@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from palimpsest.plans import catalog
+from palimpsest.plans import catalog, states
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,9 +32,17 @@ def test_query(spark, oracle, name):
     assert comparable(got.select(cols).collect()) == comparable(want)
 
 
+@pytest.mark.parametrize("name", sorted(states.ORACLES))
+def test_state_query(spark, oracle, name):
+    got = states.QUERIES[name](spark, SF)
+    cols = sorted(got.columns)
+    want = oracle.execute(f"SELECT {', '.join(cols)} FROM ({states.ORACLES[name]})").fetchall()
+    assert want and comparable(got.select(cols).collect()) == comparable(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["features_added", "features_changed", "features_removed"]
-    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert {*catalog.QUERIES, *states.QUERIES} <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -56,7 +64,7 @@ def test_entry_without_the_training_operators(tmp_path, pipeline):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     said = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
     assert said.returncode == 0, said.stderr
-    assert said.stdout.strip().splitlines()[-1] == str(sorted(catalog.QUERIES))
+    assert said.stdout.strip().splitlines()[-1] == str(sorted({*catalog.QUERIES, *states.QUERIES}))
 
 
 def test_unknown_commits_are_errors(spark):
