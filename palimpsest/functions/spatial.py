@@ -447,14 +447,34 @@ def wkt(wkb: str) -> Column:
     return run(F.col(wkb))
 
 
-def point_wkb(x: str, y: str) -> Column:
-    """A little-endian WKB point, from built-in functions: the doubles' bytes come from their bit patterns."""
+def _packed(head: bytes, *columns: str) -> Column:
+    """WKB of one kind and length: the head, then the columns as little-endian doubles, a batch at a time; null where a
+    column is."""
 
     @F.pandas_udf("binary")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(p) or pd.isna(q) else struct.pack("<BI2d", 1, 1, p, q) for p, q in zip(a, b, strict=True)], dtype="object")
+    def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
+        values = np.column_stack([pd.to_numeric(c).astype(float) for c in (first, *rest)]).astype("<f8")
+        size = 8 * values.shape[1]
+        data = values.tobytes()
+        known = ~np.isnan(values).any(axis=1)
+        return pd.Series([head + data[i * size : (i + 1) * size] if ok else None for i, ok in enumerate(known)], dtype="object")
+
+    return run(*(F.col(c) for c in columns))
+
+
+def point_wkb(x: str, y: str) -> Column:
+    """A little-endian WKB point."""
+    return _packed(struct.pack("<BI", 1, 1), x, y)
+
+
+def line_wkb(x1: str, y1: str, x2: str, y2: str) -> Column:
+    """A line of two points."""
+    return _packed(struct.pack("<BII", 1, 2, 2), x1, y1, x2, y2)
+
 
-    return run(F.col(x), F.col(y))
+def box_wkb(x1: str, y1: str, x2: str, y2: str) -> Column:
+    """A rectangle as a polygon."""
+    return _packed(struct.pack("<BIII", 1, 3, 1, 5), x1, y1, x2, y1, x2, y2, x1, y2, x1, y1)
 
 
 def envelope_polygon(x1: float, y1: float, x2: float, y2: float) -> str:

@@ -281,6 +281,31 @@ for _name, _sql in _RELATION_SQL.items():
     register(f"temporal_{_name.lower()}", f"WITH {_RANGES} SELECT commit FROM e WHERE {_sql}")(lambda s, d, r=_name: _intervals(s, d).where(temporal.relation(r, (F.col("a"), F.col("b")), (F.col("c"), F.col("e")))).select("commit"))
 
 
+#: Intervals of whole hours, so that every relation holds for some rows and not for others.
+_HOURS = """h AS (SELECT CAST(event_id AS BIGINT) AS commit, CAST(event_id AS BIGINT) % 6 AS a, CAST(event_id AS BIGINT) % 6 + 1 + CAST(event_id AS BIGINT) // 6 % 4 AS b,
+  CAST(event_id AS BIGINT) // 24 % 6 AS c, CAST(event_id AS BIGINT) // 24 % 6 + 1 + CAST(event_id AS BIGINT) // 144 % 4 AS e FROM events)"""
+
+
+def _hours(s, d):
+    n = F.col("event_id").cast("long")
+    a, c = n % 6, F.floor(n / 24) % 6
+    at = lambda hour: F.timestamp_seconds(hour * 3600)
+    return table(s, d, "events").select(n.alias("commit"), at(a).alias("a"), at(a + 1 + F.floor(n / 6) % 4).alias("b"), at(c).alias("c"), at(c + 1 + F.floor(n / 144) % 4).alias("e"))
+
+
+for _name, _sql in _RELATION_SQL.items():
+    register(f"temporal_hours_{_name.lower()}", f"WITH {_HOURS} SELECT commit FROM h WHERE {_sql}")(lambda s, d, r=_name: _hours(s, d).where(temporal.relation(r, (F.col("a"), F.col("b")), (F.col("c"), F.col("e")))).select("commit"))
+
+
+def _some_null(s, d):
+    """Every ninth order without a status, every seventh without a priority."""
+    return base(s, d).withColumn("o_orderstatus", F.when(F.col(KEY) % 9 != 0, F.col("o_orderstatus"))).withColumn("o_orderpriority", F.when(F.col(KEY) % 7 != 0, F.col("o_orderpriority")))
+
+
+for _name, _condition, _sql in (("null", "o_orderpriority IS NULL", "fid % 7 = 0"), ("not_null", "o_orderpriority IS NOT NULL", "fid % 7 <> 0"), ("nil", "o_orderstatus IS NIL", "fid % 9 = 0"), ("unknown", "NOT (o_orderstatus = 'F')", "fid % 9 <> 0 AND o_orderstatus <> 'F'")):
+    register(f"filter_some_{_name}", _BASE + f"SELECT fid, o_totalprice FROM base WHERE {_sql}")(lambda s, d, c=_condition: ql.select(ql.parse(f"SELECT @id, o_totalprice FROM orders WHERE {c}"), _some_null(s, d), KEY))
+
+
 @register("value_text_round_trip", _BASE + "SELECT fid, CAST(o_custkey AS BIGINT) AS o_custkey, o_totalprice FROM base")
 def _(s, d):
     df = base(s, d)
@@ -329,6 +354,31 @@ def _(s, d):
     return _shapes(s, d).where(spatial.spatial("EQUALS", "geom", "POINT (0.5 0.5)")).select(KEY)
 
 
+#: Boxes on a grid, one for each vector, and horizontal lines along their lower sides; each relation to the square from
+#: (2, 2) to (5, 5) holds for some of them.
+_GRID = """g AS (SELECT CAST(vec_id AS BIGINT) AS fid, CAST(vec_id AS BIGINT) % 8 AS x0, CAST(vec_id AS BIGINT) // 8 % 8 AS y0, CAST(vec_id AS BIGINT) % 8 + 1 + CAST(vec_id AS BIGINT) // 64 % 6 AS x1,
+  CAST(vec_id AS BIGINT) // 8 % 8 + 1 + (CAST(vec_id AS BIGINT) // 64 + CAST(vec_id AS BIGINT) // 384) % 6 AS y1 FROM embeddings)"""
+_GRID_SQUARE = spatial.envelope_polygon(2, 2, 5, 5)
+_MEET, _INSIDE = "(x0 <= 5 AND x1 >= 2 AND y0 <= 5 AND y1 >= 2)", "(x0 < 5 AND x1 > 2 AND y0 < 5 AND y1 > 2)"
+_COVERS, _COVERED = "(x0 <= 2 AND x1 >= 5 AND y0 <= 2 AND y1 >= 5)", "(x0 >= 2 AND x1 <= 5 AND y0 >= 2 AND y1 <= 5)"
+_ON_GRID = {
+    "intersects": _MEET, "disjoint": f"NOT {_MEET}", "contains": _COVERS, "within": _COVERED, "equals": f"{_COVERS} AND {_COVERED}", "touches": f"{_MEET} AND NOT {_INSIDE}",
+    "overlaps": f"{_INSIDE} AND NOT {_COVERS} AND NOT {_COVERED}", "crosses": "y0 > 2 AND y0 < 5 AND x0 < 5 AND x1 > 2 AND NOT (x0 >= 2 AND x1 <= 5)",
+}
+
+
+def _grid(s, d, lines: bool):
+    n = F.col("vec_id").cast("long")
+    x0, y0 = n % 8, F.floor(n / 8) % 8
+    x1, y1 = x0 + 1 + F.floor(n / 64) % 6, y0 + 1 + (F.floor(n / 64) + F.floor(n / 384)) % 6
+    rows = table(s, d, "embeddings").select(n.alias(KEY), x0.alias("minx"), y0.alias("miny"), x1.alias("maxx"), (y0 if lines else y1).alias("maxy"))
+    return rows.withColumn("geom", spatial.line_wkb("minx", "miny", "maxx", "maxy") if lines else spatial.box_wkb("minx", "miny", "maxx", "maxy"))
+
+
+for _name, _sql in _ON_GRID.items():
+    register(f"spatial_grid_{_name}", f"WITH {_GRID} SELECT fid FROM g WHERE {_sql}")(lambda s, d, r=_name: _grid(s, d, r == "crosses").where(spatial.spatial(r.upper(), "geom", _GRID_SQUARE)).select(KEY))
+
+
 _CELL = lambda c, k: f"CAST(least(greatest(floor(({c} - -0.5) / 1.0 * 4096), 0), 4095) AS INTEGER) >> {k} & 1"
 _QUADKEY = " || ".join(f"CAST((({_CELL('y', k)}) * 2 + ({_CELL('x', k)})) AS VARCHAR)" for k in range(11, -1, -1))
 
