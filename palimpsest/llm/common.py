@@ -26,6 +26,18 @@ BROADCAST_BYTES = 32 << 20
 FILTER_BITS = 1 << 26
 
 
+#: Whole texts go to Python in batches of at most so many rows.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's number of rows in an Arrow batch to ``BATCH_ROWS``: a worker holds a batch several times over,
+    and texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,6 +89,7 @@ def real_id(name: str):
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text), whatever other columns there are; null text is empty and a null identifier sorts last."""
+    bounded_batches(docs.sparkSession)
     return docs.select(id_column(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

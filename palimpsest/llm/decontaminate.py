@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import identified, real_id, stored
+from palimpsest.llm.common import bounded_batches, identified, real_id, stored
 
 Q, WINDOW, RATE, LEAST = 8, 96, 0.1, 32
 BLOCK_CHARS = 4_000_000
@@ -273,6 +273,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no region of the benchmark; one pass a block, no join."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     for n, patterns in enumerate(_blocks(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
