@@ -69,6 +69,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds[None, :], -30, 30)))
 
 
+def thresholds_of(cuts: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logarithms of the gaps."""
+    return np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])]))
+
+
+def loss_and_gradient(weights: np.ndarray, cuts: np.ndarray, index: np.ndarray, value: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood with the ridge, and its gradients by weights and by cuts."""
+    n, top = len(grades), len(cuts)
+    thresholds = thresholds_of(cuts)
+    z = np.bincount(owner, value * weights[index], minlength=n)
+    upper = np.concatenate([thresholds, [np.inf]])[grades]  # P(grade) = S(upper - z) - S(lower - z)
+    lower = np.concatenate([[-np.inf], thresholds])[grades]
+    a, b = (1 / (1 + np.exp(-np.clip(t - z, -30, 30))) for t in (upper, lower))
+    p = np.maximum(1e-9, a - b)
+    da, db = a * (1 - a) / p, b * (1 - b) / p
+    dz = da - db  # d(-log p)/dz
+    dt = np.zeros(top)
+    np.add.at(dt, np.minimum(grades, top - 1), np.where(grades < top, -da, 0))
+    np.add.at(dt, np.maximum(grades - 1, 0), np.where(grades > 0, db, 0))
+    dcut = np.cumsum(dt[::-1])[::-1].copy()
+    dcut[1:] *= np.exp(cuts[1:])
+    loss = -np.log(p).mean() + RIDGE / 2 * float(weights @ weights)
+    return loss, np.bincount(index, value * dz[owner], minlength=len(weights)) / n + RIDGE * weights, dcut / n
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int) -> Model:
     """Maximum likelihood with a small ridge, by Adam steps; thresholds stay ordered through their log gaps."""
     weights = np.zeros(_SIZE)
@@ -76,31 +101,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int)
     first = -np.log(share / (1 - share))
     cuts = np.concatenate([first[:1], np.log(np.maximum(1e-3, np.diff(first)))])
     if not len(rows):
-        return Model(weights, np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])])))
+        return Model(weights, thresholds_of(cuts))
     index, value, owner = (np.concatenate(x) for x in zip(*((i, v, np.full(len(i), n)) for n, (i, v) in enumerate(rows)), strict=True))
     m = [np.zeros(_SIZE + top), np.zeros(_SIZE + top)]
-    n = len(rows)
     for step in range(1, STEPS + 1):
-        thresholds = np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])]))
-        z = np.bincount(owner, value * weights[index], minlength=n)
-        upper = np.concatenate([thresholds, [np.inf]])[grades]  # P(grade) = S(upper - z) - S(lower - z)
-        lower = np.concatenate([[-np.inf], thresholds])[grades]
-        a, b = (1 / (1 + np.exp(-np.clip(t - z, -30, 30))) for t in (upper, lower))
-        p = np.maximum(1e-9, a - b)
-        da, db = a * (1 - a) / p, b * (1 - b) / p
-        dz = da - db  # d(-log p)/dz
-        dt = np.zeros(top)
-        np.add.at(dt, np.minimum(grades, top - 1), np.where(grades < top, -da, 0))
-        np.add.at(dt, np.maximum(grades - 1, 0), np.where(grades > 0, db, 0))
-        dcut = np.cumsum(dt[::-1])[::-1].copy()
-        dcut[1:] *= np.exp(cuts[1:])
-        g = np.concatenate([np.bincount(index, value * dz[owner], minlength=_SIZE) / n + RIDGE * weights, dcut / n])
+        _, by_weight, by_cut = loss_and_gradient(weights, cuts, index, value, owner, grades)
+        g = np.concatenate([by_weight, by_cut])
         m[0] = 0.9 * m[0] + 0.1 * g
         m[1] = 0.99 * m[1] + 0.01 * g * g
         move = RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
         weights -= move[:_SIZE]
         cuts -= move[_SIZE:]
-    return Model(weights, np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])])))
+    return Model(weights, thresholds_of(cuts))
 
 
 def held_out(column: str = "doc_id") -> Column:

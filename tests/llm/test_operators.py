@@ -565,6 +565,44 @@ def test_chat_threads_and_digests(spark):
     assert got[7]["formatted_chars"] == sum(len(f"<s>[INST] {r} [/INST]{t}</s>") for r, t in [("user", ""), ("user", "again"), ("assistant", "<\\s>")])
 
 
+def test_quality_likelihood_and_gradient():
+    """The likelihood against the definition of the model in plain Python, the gradient against finite differences."""
+    rng = np.random.default_rng(11)
+    n, width, top = 40, 12, 3
+    grades = rng.integers(0, top + 1, n)
+    index, value, owner = rng.integers(0, width, 5 * n), rng.random(5 * n), np.repeat(np.arange(n), 5)
+    weights, cuts = rng.normal(size=width), np.array([-0.5, 0.1, -0.7])
+
+    def plain(w, c):
+        bounds = [-math.inf, c[0], c[0] + math.exp(c[1]), c[0] + math.exp(c[1]) + math.exp(c[2]), math.inf]
+        below = lambda t, z: 0.0 if t == -math.inf else 1.0 if t == math.inf else 1 / (1 + math.exp(z - t))
+        total = 0.0
+        for i in range(n):
+            z = sum(v * w[k] for k, v, o in zip(index, value, owner, strict=True) if o == i)
+            total -= math.log(below(bounds[grades[i] + 1], z) - below(bounds[grades[i]], z))
+        return total / n + quality.RIDGE / 2 * sum(x * x for x in w)
+
+    loss, by_weight, by_cut = quality.loss_and_gradient(weights, cuts, index, value, owner, grades)
+    assert loss == pytest.approx(plain(weights, cuts), rel=1e-12)
+    for k in range(width):
+        step = np.eye(width)[k] * 1e-6
+        assert by_weight[k] == pytest.approx((plain(weights + step, cuts) - plain(weights - step, cuts)) / 2e-6, abs=1e-6)
+    for k in range(top):
+        step = np.eye(top)[k] * 1e-6
+        assert by_cut[k] == pytest.approx((plain(weights, cuts + step) - plain(weights, cuts - step)) / 2e-6, abs=1e-6)
+    tails = quality.Model(weights, quality.thresholds_of(cuts)).tails(np.array([-1.0, 0.0, 2.0]))
+    assert (np.diff(tails, axis=1) < 0).all() and (np.diff(tails, axis=0) > 0).all()
+
+
+def test_quality_odd_rows(spark):
+    """Null and repeated doc_ids are scored each; long words of marks and digits; no documents."""
+    docs = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (3, "word " * 9, 3), (3, None, 4), (4, "x9-" * 40_000, 5)], "doc_id long, text string, grade int")
+    ratings = spark.createDataFrame([(3, 1), (3, 0), (4, 2), (None, 1)], "doc_id long, grade int")
+    got = quality.classify(docs, ratings).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "3", "4", "None", "None"] and all(0 <= r["score"] <= 1 <= 1 + r["expected_grade"] <= 3 for r in got)
+    assert quality.classify(docs.limit(0), ratings).count() == 0
+
+
 def test_quality(spark):
     rng = random.Random(12)
     rows, ratings = [], []
