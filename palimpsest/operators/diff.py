@@ -80,10 +80,9 @@ def touching(entries: DataFrame, x: str, y: str, box: tuple[float, float, float,
 
 
 def diff_count(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """One row: features and trees added, changed and removed.
+    """One row: features added, changed and removed; layers are counted by ``Repo.diff_count``.
 
-    Only the key and a content hash are shuffled. Trees count as layers do: one of them, added or removed as a whole
-    when the other side has no row, changed when any feature is.
+    Only the key and a content hash are shuffled.
     """
     attrs = attributes(left, right, key)
     side = lambda df, prefix: df.select(key, object_id(df, [a for a in attrs if a in df.columns]).alias(f"{prefix}id"))

@@ -24,7 +24,7 @@ from palimpsest.operators.snapshot import adapt, entries
 from palimpsest.plans import ql
 from palimpsest.sources.files import import_table
 from palimpsest.sources.files import write as write_files
-from palimpsest.sources.store import Store
+from palimpsest.sources.store import StateChanged, Store
 
 HEAD, MASTER = "HEAD", "refs/heads/master"
 
@@ -41,7 +41,7 @@ class Repo:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.store = spark, Store(spark, path, buckets)
         self.hooks: dict[str, list[Callable]] = {"pre_commit": [], "post_commit": [], "post_update_refs": []}
-        if not self.store.exists("meta.json"):
+        if not self.store.states():
             self._save({"refs": {HEAD: f"ref: {MASTER}"}, "commits": {}, "tags": {}, "work": {}, "stage": {}, "config": {}, "conflicts": [], "indexes": {}, "remotes": {}, "pulls": {}, "transactions": {}, "reflog": [], "state": {}, "filter": {}})
 
     # --- state
@@ -54,10 +54,16 @@ class Repo:
         self.store.write_meta(meta)
 
     def _edit(self, change: Callable[[dict], object]):
-        meta = self.meta
-        out = change(meta)
-        self._save(meta)
-        return out
+        """Applies a change to the state; to the newer one where another writer was faster."""
+        for attempt in range(10):
+            meta = self.meta
+            out = change(meta)
+            try:
+                self._save(meta)
+                return out
+            except StateChanged:
+                if attempt == 9:
+                    raise
 
     @staticmethod
     def _deref(refs: dict, name: str) -> tuple[str, str | None]:

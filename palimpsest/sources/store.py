@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,19 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root}/repositories"
 
 
+class StateChanged(ValueError):
+    """Another writer has saved a state meanwhile."""
+
+
 class Store:
-    """A folder with ``meta.json`` and ``layers/<snapshot id>/``; snapshots are never changed once written."""
+    """A folder with numbered states, ``state/<number>.json``, and ``layers/<snapshot id>/``; neither is ever changed.
+
+    The state with the largest number holds. A writer creates the next number after the one that it has read, and only
+    if it isn't there: of two writers one gets a ``StateChanged``, and a writer that dies leaves the old state. This rests on
+    the file system's rename being atomic and not overwriting, as it is in HDFS.
+    """
+
+    KEPT = 20
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -40,23 +52,39 @@ class Store:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._p(name))
 
+    def states(self) -> list[int]:
+        """Numbers of the states that are there, rising."""
+        if not self.exists("state"):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._p("state"))]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
     def read_meta(self) -> dict:
-        stream = self._fs.open(self._p("meta.json"))
+        stream = self._fs.open(self._p(f"state/{self.states()[-1]}.json"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def write_meta(self, meta: dict) -> None:
-        """Written beside and renamed, so readers see the old or the new state."""
-        beside = self._p(f"meta-{uuid.uuid4().hex}.tmp")
+        """Saves the state that follows the one that ``meta`` was read from, or raises ``StateChanged``."""
+        number = meta.get("version", 0) + 1
+        beside = self._p(f"state/{uuid.uuid4().hex}.tmp")
         stream = self._fs.create(beside, True)
-        stream.write(bytearray(json.dumps(meta).encode()))
+        stream.write(bytearray(json.dumps({**meta, "version": number}).encode()))
         stream.close()
-        target = self._p("meta.json")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(beside, target)
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(beside, self._p(f"state/{number}.json"), options)
+        except Py4JJavaError as e:
+            self._fs.delete(beside, False)
+            if self.exists(f"state/{number}.json"):
+                raise StateChanged(f"state {number} was saved by another writer") from e
+            raise
+        meta["version"] = number
+        for old in self.states()[: -self.KEPT]:
+            self._fs.delete(self._p(f"state/{old}.json"), False)
 
     def write(self, df: DataFrame, key: str) -> str:
         """A new snapshot: rows by hash bucket, and a row per bucket with its count and digest."""

@@ -185,3 +185,34 @@ def test_index_blame_patch(repo, spark):
     assert len(rows(repo.snapshot("Points"))) == 3
     repo.apply_patch(patch, reverse=True)
     assert repo.status()["unstaged"] == {"added": 0, "modified": 0, "removed": 0, "trees_added": 0, "trees_changed": 0, "trees_removed": 0}
+
+
+def test_two_writers_and_a_killed_write(repo, spark, tmp_path):
+    """The slower of two writers is refused, an edit is applied to the newer state, and a half-written state is no state."""
+    from palimpsest.sources.store import StateChanged
+
+    other = Repo(spark, repo.store.path, buckets=2)
+    stale = other.meta
+    repo.config("user.name", "cid")
+    stale["config"]["user.name"] = "dan"
+    with pytest.raises(StateChanged):
+        other._save(stale)
+    assert other.config("user.name") == "cid"
+    (tmp_path / "repo" / "state" / "half.tmp").write_text('{"refs"')
+    other.create_branch("side")
+    assert repo.branches() == ["master", "side"] and repo.config("user.name") == "cid"
+    for n in range(30):
+        repo.config("n", str(n))
+    assert len(repo.store.states()) == repo.store.KEPT and other.config("n") == "29"
+
+
+def test_geojson_a_feature_a_line(spark, tmp_path):
+    from palimpsest.sources.files import read_geojson
+
+    lines = [f'{{"type": "Feature", "id": "{n}", "geometry": {{"type": "Point", "coordinates": [{n}, 1]}}, "properties": {{"name": "p{n}"}}}}' for n in range(3)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "lines.json").write_text("\n".join([*lines, ""]))
+    (tmp_path / "in" / "whole.json").write_text('{"type": "FeatureCollection", "features": [' + lines[0].replace('"0"', '"9"') + "]}")
+    got = read_geojson(spark, f"file://{tmp_path}/in")
+    assert sorted((r["fid"], r["name"]) for r in got.collect()) == [("0", "p0"), ("1", "p1"), ("2", "p2"), ("9", "p0")]
+    assert got.where("geom is null").count() == 0
