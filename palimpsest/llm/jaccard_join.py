@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import byte_list, groups_of, identified, mix, real_id, shuffle_partitions, small_enough, split_words, stored
 from palimpsest.llm.components import components
 
-COUNTERS, CHUNKS, SKETCH, FEW, PASSES = 1 << 20, 16, 512, 4, 6
+COUNTERS, CHUNKS, SKETCH, FEW, PASSES = 1 << 20, 16, 512, 4, 2
 
 #: A shingle's counter is named by its leading bits.
 _COUNTER = np.uint64(64 - 20)
