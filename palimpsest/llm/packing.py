@@ -37,7 +37,7 @@ class WordIds(dict):
     are encoded in one string: each of them ends in the one id whose token carries the end-of-word mark.
     """
 
-    LIMIT, TOGETHER = 800_000, 512
+    LIMIT, TOGETHER = 400_000, 512
     MARKS = b".,;:!?"
 
     def __init__(self, path: str):
