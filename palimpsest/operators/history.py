@@ -1,7 +1,7 @@
 """The commit graph: reachability, logs, ancestors, blame and revision specs.
 
 A commits table has commit, parents (ordered array), author, committer, ts and message. Orders that are sequential by
-nature (topological order, ancestors) walk the (commit, parents) pairs on the driver, which holds two numbers a commit;
+nature (topological order, ancestors) walk the (commit, parents) pairs on the driver, which holds them in arrays;
 ``Graph.LIMIT`` bounds how many it takes. Everything about the rows themselves stays a DataFrame.
 """
 
@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Mapping, Set
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,62 +25,203 @@ def edges(commits: DataFrame) -> DataFrame:
     return commits.select("commit", F.posexplode("parents").alias("nth", "parent"))
 
 
+class Marked(Set):
+    """A set of a graph's commits: a flag for each commit of the graph."""
+
+    def __init__(self, graph: Graph, flags: bytearray | np.ndarray):
+        self.graph, self.flags = graph, np.frombuffer(flags, dtype=np.uint8).astype(bool) if isinstance(flags, bytearray) else flags
+
+    @classmethod
+    def _from_iterable(cls, it) -> set:
+        return set(it)
+
+    def places(self) -> np.ndarray:
+        return np.flatnonzero(self.flags)
+
+    def __contains__(self, c) -> bool:
+        at = self.graph.place(c)
+        return at >= 0 and bool(self.flags[at])
+
+    def __iter__(self):
+        places = self.places()
+        for k in range(0, len(places), 1 << 16):
+            yield from self.graph.ids[places[k : k + (1 << 16)]].tolist()
+
+    def __len__(self) -> int:
+        return int(np.count_nonzero(self.flags))
+
+    def __and__(self, other):
+        return Marked(self.graph, self.flags & other.flags) if isinstance(other, Marked) and other.graph is self.graph else super().__and__(other)
+
+    def __sub__(self, other):
+        return Marked(self.graph, self.flags & ~other.flags) if isinstance(other, Marked) and other.graph is self.graph else super().__sub__(other)
+
+
+class Links(Mapping):
+    """Commits with something of each, by a function of the commit's place."""
+
+    def __init__(self, graph: Graph, of: Callable[[int], object]):
+        self.graph, self.of = graph, of
+
+    def __getitem__(self, c):
+        at = self.graph.place(c)
+        if at < 0:
+            raise KeyError(c)
+        return self.of(at)
+
+    def __iter__(self):
+        ids = self.graph.ids
+        for k in range(0, len(ids), 1 << 16):
+            yield from ids[k : k + (1 << 16)].tolist()
+
+    def __len__(self) -> int:
+        return len(self.graph.ids)
+
+
+def _packed(batches):
+    """Each batch of (commit, parents, ts) as one compressed row, so that the driver's JVM holds little of it."""
+    for batch in batches:
+        held = pa.BufferOutputStream()
+        with pa.ipc.new_stream(held, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        row = (len(batch), len(batch.column(1).flatten()), held.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["n", "links", "rows"])
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(counts) + 1, dtype=np.int32)
+    np.cumsum(counts, out=out[1:])
+    return out
+
+
 class Graph:
-    """Commits with their ordered parents and, if given, times."""
+    """Commits with their ordered parents and, if given, times, in arrays by the rank of the commit's id.
+
+    Commit k has the parents ``up[starts[k] : starts[k + 1]]``, by their ranks, -1 for one that isn't in the table; ``lost``
+    has the places of those and their ids. That is some 20 bytes a commit and 4 a link, beside a flag or a number a
+    commit in the walks.
+    """
 
     LIMIT = 20_000_000
+    NO_TIME = np.iinfo(np.int64).min
 
     def __init__(self, parents: dict, times: dict | None = None):
-        self.parents, self.times = parents, times or {}
-        self.children: dict = {}
-        for c, ps in parents.items():
-            for p in ps:
-                self.children.setdefault(p, []).append(c)
+        times = times or {}
+        ids = np.array(list(parents), dtype=None if parents and all(isinstance(c, int) for c in parents) else object)
+        linked = [p for ps in parents.values() for p in ps]
+        at = [self.NO_TIME if (t := times.get(c)) is None else round(t.timestamp() * 1_000_000) if hasattr(t, "timestamp") else t for c in parents]
+        self._pack(ids, np.array([len(ps) for ps in parents.values()], dtype=np.int64), np.array(linked, dtype=ids.dtype if all(isinstance(p, int) for p in linked) else object), np.array(at, dtype=None if at else np.int64))
 
     @staticmethod
     def of(commits: DataFrame) -> Graph:
-        rows = commits.select("commit", "parents", "ts").limit(Graph.LIMIT + 1).toPandas()
-        if len(rows) > Graph.LIMIT:
+        if commits.count() > Graph.LIMIT:
             raise ValueError(f"over {Graph.LIMIT} commits: walk the edges as a DataFrame instead")
-        return Graph({c: list(p) for c, p in zip(rows["commit"], rows["parents"], strict=True)}, dict(zip(rows["commit"], rows["ts"], strict=True)))
+        time = F.unix_micros(F.col("ts").cast("timestamp")) if "timestamp" in dict(commits.dtypes)["ts"] else F.col("ts").cast("long")
+        rows = commits.where("commit is not null").select("commit", F.coalesce("parents", F.array().cast(commits.schema["parents"].dataType)).alias("parents"), time.alias("ts"))
+        numbers = dict(commits.dtypes)["commit"] in ("tinyint", "smallint", "int", "bigint")
+        packed = rows.mapInArrow(_packed, "n long, links long, rows binary").toArrow()
+        n, links = (sum(packed.column(k).to_pylist()) for k in ("n", "links"))
+        kind = np.int64 if numbers else object
+        ids, counts, linked, at = np.empty(n, dtype=kind), np.empty(n, dtype=np.int32), np.empty(links, dtype=kind), np.empty(n, dtype=np.int64)
+        k = m = 0
+        for x in packed.column("rows"):
+            part = pa.ipc.open_stream(x.as_buffer()).read_next_batch()
+            up = part.column("parents").flatten().to_numpy(zero_copy_only=False)
+            ids[k : k + len(part)], linked[m : m + len(up)] = part.column("commit").to_numpy(zero_copy_only=False), up
+            counts[k : k + len(part)], at[k : k + len(part)] = part.column("parents").value_lengths().to_numpy(), part.column("ts").fill_null(Graph.NO_TIME).to_numpy()
+            k, m = k + len(part), m + len(up)
+        del packed
+        out = Graph.__new__(Graph)
+        out._pack(ids, counts, linked, at)
+        return out
+
+    def _pack(self, ids: np.ndarray, counts: np.ndarray, linked: np.ndarray, times: np.ndarray) -> None:
+        starts = _starts(counts)
+        if len(ids) > 1 and not (ids[1:] > ids[:-1]).all():  # of rows that repeat a commit the last one holds
+            order = np.argsort(ids, kind="stable")
+            order = order[np.append(ids[order][1:] != ids[order][:-1], True)]
+            ids, counts, times, begins = ids[order], counts[order], times[order], starts[order]
+            starts = _starts(counts)
+            linked = linked[np.repeat(begins - starts[:-1], counts) + np.arange(starts[-1])]
+        self.ids, self.starts, self._times = ids, starts, times
+        self.up = np.full(len(linked), -1, dtype=np.int32)
+        for k in range(0, len(linked) if len(ids) else 0, 1 << 20):
+            part = linked[k : k + (1 << 20)]
+            at = np.minimum(np.searchsorted(ids, part), len(ids) - 1)
+            self.up[k : k + len(part)] = np.where(ids[at] == part, at, -1)
+        lost = np.flatnonzero(self.up < 0)
+        self.lost = (lost, linked[lost])
+        self.parents, self.times = Links(self, self._parents), Links(self, lambda k: None if self._times[k] == self.NO_TIME else self._times[k].item())
+
+    def place(self, c) -> int:
+        """The rank of a commit's id, -1 where it isn't in the table."""
+        if not len(self.ids) or isinstance(c, str) != isinstance(self.ids[0], str) or c is None:
+            return -1
+        k = int(np.searchsorted(self.ids, c))
+        return k if k < len(self.ids) and self.ids[k] == c else -1
+
+    def _parents(self, k: int) -> list:
+        where, names = self.lost
+        return [self.ids[p : p + 1].tolist()[0] if p >= 0 else names[np.searchsorted(where, n) :][:1].tolist()[0] for n, p in enumerate(self.up[self.starts[k] : self.starts[k + 1]].tolist(), int(self.starts[k]))]
+
+    @cached_property
+    def children(self) -> Links:
+        known = np.flatnonzero(self.up >= 0)
+        order = known[np.argsort(self.up[known], kind="stable")]
+        owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))[order]
+        cuts = np.searchsorted(self.up[order], np.arange(len(self.ids) + 1))
+        return Links(self, lambda k: self.ids[owner[cuts[k] : cuts[k + 1]]].tolist())
 
     def check(self, *tips) -> None:
         """An unknown commit is an error, not one without history."""
         if missing := [t for t in tips if t not in self.parents]:
             raise ValueError(f"no such commit: {', '.join(map(str, missing))}")
 
-    def reachable(self, *tips, until: set | None = None) -> set:
-        seen, todo = set(), [t for t in tips if t in self.parents]
+    def _places(self, tips) -> list[int]:
+        return [k for k in map(self.place, tips) if k >= 0]
+
+    def reachable(self, *tips, until: Set | None = None) -> Marked:
+        seen, todo = bytearray(len(self.ids)), self._places(tips)
+        stop = bytearray(len(self.ids))
+        for k in self._places(until or ()):
+            stop[k] = 1
+        starts, up = memoryview(self.starts), memoryview(self.up)
         while todo:
-            c = todo.pop()
-            if c not in seen and not (until and c in until):
-                seen.add(c)
-                todo += [p for p in self.parents[c] if p in self.parents]
-        return seen
+            k = todo.pop()
+            if not seen[k] and not stop[k]:
+                seen[k] = 1
+                todo += [p for p in up[starts[k] : starts[k + 1]] if p >= 0 and not seen[p]]
+        return Marked(self, seen)
 
     def merge_bases(self, a, b) -> list:
         """Common ancestors that aren't ancestors of another one."""
         self.check(a, b)
-        common = self.reachable(a) & self.reachable(b)
-        lower = self.reachable(*[p for c in common for p in self.parents[c]])
-        return sorted(common - lower)
+        common = (self.reachable(a) & self.reachable(b)).flags
+        links = self.up[np.repeat(common, np.diff(self.starts))]  # ancestors of common ones are common, so a parent of one is what is left out
+        lower = np.zeros(len(self.ids), dtype=bool)
+        lower[links[links >= 0]] = True
+        return self.ids[common & ~lower].tolist()
 
     def merge_base(self, a, b):
         """The best common ancestor: of several the latest, then the largest."""
         found = self.merge_bases(a, b)
-        return max(found, key=lambda c: (self.times.get(c) is not None, self.times.get(c), c)) if found else None
+        return max(found, key=lambda c: (self._times[self.place(c)], c)) if found else None
 
     def ahead_behind(self, a, b) -> tuple[int, int]:
         self.check(a, b)
         x, y = self.reachable(a), self.reachable(b)
         return len(x - y), len(y - x)
 
+    def _first_parents(self, tip) -> np.ndarray:
+        out, k = array("i"), self.place(tip)
+        starts, up = memoryview(self.starts), memoryview(self.up)
+        while k >= 0:
+            out.append(k)
+            k = up[starts[k]] if starts[k] < starts[k + 1] else -1
+        return np.frombuffer(out, dtype=np.int32) if out else np.zeros(0, dtype=np.int32)
+
     def first_parents(self, tip) -> list:
-        out = []
-        while tip in self.parents:
-            out.append(tip)
-            tip = self.parents[tip][0] if self.parents[tip] else None
-        return out
+        return self.ids[self._first_parents(tip)].tolist()
 
     def depth(self, commit) -> int:
         """Fewest steps to a root."""
@@ -107,40 +252,44 @@ class Graph:
                     todo.append(p)
         return []
 
-    def chronological(self, *tips) -> list:
-        """Latest first among what is open, a commit after all that lead to it there."""
-        heap, seen, out = [], set(), []
-        for t in tips:
-            if t in self.parents and t not in seen:
-                seen.add(t)
-                heapq.heappush(heap, (-self._at(t), t))
-        while heap:
-            _, c = heapq.heappop(heap)
-            out.append(c)
-            for p in self.parents[c]:
-                if p in self.parents and p not in seen:
-                    seen.add(p)
-                    heapq.heappush(heap, (-self._at(p), p))
-        return out
-
-    def _at(self, c) -> float:
-        t = self.times.get(c)
-        return t.timestamp() if hasattr(t, "timestamp") else float(t or 0)
+    def _chronological(self, *tips) -> np.ndarray:
+        heap, seen, out = [], bytearray(len(self.ids)), array("i")
+        starts, up, at = memoryview(self.starts), memoryview(self.up), memoryview(self._times)
+        todo = self._places(tips)
+        while True:
+            for k in todo:
+                if k >= 0 and not seen[k]:
+                    seen[k] = 1
+                    heapq.heappush(heap, (-at[k], k))
+            if not heap:
+                return np.frombuffer(out, dtype=np.int32) if out else np.zeros(0, dtype=np.int32)
+            k = heapq.heappop(heap)[1]
+            out.append(k)
+            todo = up[starts[k] : starts[k + 1]]
 
-    def topological(self, *tips) -> list:
-        """Children before parents, one line at a time."""
-        inside = self.reachable(*tips)
-        waiting = {c: sum(k in inside for k in self.children.get(c, ())) for c in inside}
-        todo, out = [c for c in reversed(tips) if waiting.get(c) == 0], []
+    def chronological(self, *tips) -> list:
+        """Latest first among what is open, a commit after all that lead to it there; commits without a time last."""
+        return self.ids[self._chronological(*tips)].tolist()
+
+    def _topological(self, *tips) -> np.ndarray:
+        inside = self.reachable(*tips).flags
+        links = self.up[np.repeat(inside, np.diff(self.starts))]
+        waiting = memoryview(np.bincount(links[links >= 0], minlength=len(self.ids)).astype(np.int32))
+        starts, up, out = memoryview(self.starts), memoryview(self.up), array("i")
+        todo = [k for k in dict.fromkeys(reversed(self._places(tips))) if not waiting[k]]
         while todo:
-            c = todo.pop()
-            out.append(c)
-            for p in reversed(self.parents[c]):
-                if p in waiting:
+            k = todo.pop()
+            out.append(k)
+            for p in reversed(up[starts[k] : starts[k + 1]]):
+                if p >= 0:
                     waiting[p] -= 1
-                    if waiting[p] == 0:
+                    if not waiting[p]:
                         todo.append(p)
-        return out
+        return np.frombuffer(out, dtype=np.int32) if out else np.zeros(0, dtype=np.int32)
+
+    def topological(self, *tips) -> list:
+        """Children before parents, one line at a time."""
+        return self.ids[self._topological(*tips)].tolist()
 
     def shallow(self, tip, depth: int) -> set:
         """Commits within ``depth`` generations of the tip."""
@@ -155,12 +304,9 @@ class Graph:
         return bool((self.reachable(a) - self.reachable(b)) & sparse)
 
 
-def _listed(spark: SparkSession, ids: Iterable, name: str = "commit") -> DataFrame:
-    import pyarrow as pa
-
-    ids = list(ids)
-    kind = pa.string() if ids and isinstance(ids[0], str) else pa.int64()
-    return spark.createDataFrame(pa.table({name: pa.array(ids, kind), "at": pa.array(range(len(ids)), pa.int64())}))
+def _listed(spark: SparkSession, ids: np.ndarray, name: str = "commit") -> DataFrame:
+    kind = pa.int64() if ids.dtype.kind == "i" else pa.string()
+    return spark.createDataFrame(pa.table({name: pa.array(ids, kind), "at": pa.array(np.arange(len(ids), dtype=np.int64))}))
 
 
 def log(commits: DataFrame, graph: Graph, tips: list, since=None, author: str | None = None, committer: str | None = None, after=None, before=None, skip: int = 0, limit: int | None = None, first_parent: bool = False, topo: bool = False, paths: DataFrame | None = None) -> DataFrame:
@@ -170,9 +316,10 @@ def log(commits: DataFrame, graph: Graph, tips: list, since=None, author: str |
     a table with the commits that touched the wanted paths. Times are inclusive. Unknown tips are errors.
     """
     graph.check(*tips, *([] if since is None else [since]))
-    order = graph.first_parents(tips[0]) if first_parent else graph.topological(*tips) if topo else graph.chronological(*tips)
-    gone = graph.reachable(since) if since is not None else set()
-    out = commits.join(_listed(commits.sparkSession, [c for c in order if c not in gone]), "commit")
+    order = graph._first_parents(tips[0]) if first_parent else graph._topological(*tips) if topo else graph._chronological(*tips)
+    if since is not None:
+        order = order[~graph.reachable(since).flags[order]]
+    out = commits.join(_listed(commits.sparkSession, graph.ids[order]), "commit")
     for column, pattern in (("author", author), ("committer", committer)):
         if pattern is not None:
             out = out.where(F.col(column).isNull() | F.col(column).rlike(f"^(?:{pattern})$"))
@@ -188,7 +335,7 @@ def log(commits: DataFrame, graph: Graph, tips: list, since=None, author: str |
 
 
 def reachable_rows(commits: DataFrame, graph: Graph, tip) -> DataFrame:
-    return commits.join(_listed(commits.sparkSession, graph.reachable(tip)).drop("at"), "commit", "left_semi")
+    return commits.join(_listed(commits.sparkSession, graph.ids[graph.reachable(tip).places()]).drop("at"), "commit", "left_semi")
 
 
 def reachable_distributed(commits: DataFrame, tips: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
