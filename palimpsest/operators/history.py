@@ -151,7 +151,14 @@ class Graph:
             self.up[k : k + len(part)] = np.where(ids[at] == part, at, -1)
         lost = np.flatnonzero(self.up < 0)
         self.lost = (lost, linked[lost])
-        self.parents, self.times = Links(self, self._parents), Links(self, lambda k: None if self._times[k] == self.NO_TIME else self._times[k].item())
+
+    @property
+    def parents(self) -> Links:  # not kept, as a cycle of references would keep the arrays
+        return Links(self, self._parents)
+
+    @property
+    def times(self) -> Links:
+        return Links(self, lambda k: None if self._times[k] == self.NO_TIME else self._times[k].item())
 
     def place(self, c) -> int:
         """The rank of a commit's id, -1 where it isn't in the table."""
@@ -165,11 +172,14 @@ class Graph:
         return [self.ids[p : p + 1].tolist()[0] if p >= 0 else names[np.searchsorted(where, n) :][:1].tolist()[0] for n, p in enumerate(self.up[self.starts[k] : self.starts[k + 1]].tolist(), int(self.starts[k]))]
 
     @cached_property
-    def children(self) -> Links:
+    def _down(self) -> tuple[np.ndarray, np.ndarray]:
         known = np.flatnonzero(self.up >= 0)
         order = known[np.argsort(self.up[known], kind="stable")]
-        owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))[order]
-        cuts = np.searchsorted(self.up[order], np.arange(len(self.ids) + 1))
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))[order], np.searchsorted(self.up[order], np.arange(len(self.ids) + 1))
+
+    @property
+    def children(self) -> Links:
+        owner, cuts = self._down
         return Links(self, lambda k: self.ids[owner[cuts[k] : cuts[k + 1]]].tolist())
 
     def check(self, *tips) -> None:
@@ -271,6 +281,10 @@ class Graph:
         """Latest first among what is open, a commit after all that lead to it there; commits without a time last."""
         return self.ids[self._chronological(*tips)].tolist()
 
+    def _by_time(self, *tips) -> np.ndarray:
+        places = self.reachable(*tips).places()
+        return places[np.lexsort((places, self._times[places]))[::-1]]
+
     def _topological(self, *tips) -> np.ndarray:
         inside = self.reachable(*tips).flags
         links = self.up[np.repeat(inside, np.diff(self.starts))]
@@ -309,14 +323,15 @@ def _listed(spark: SparkSession, ids: np.ndarray, name: str = "commit") -> DataF
     return spark.createDataFrame(pa.table({name: pa.array(ids, kind), "at": pa.array(np.arange(len(ids), dtype=np.int64))}))
 
 
-def log(commits: DataFrame, graph: Graph, tips: list, since=None, author: str | None = None, committer: str | None = None, after=None, before=None, skip: int = 0, limit: int | None = None, first_parent: bool = False, topo: bool = False, paths: DataFrame | None = None) -> DataFrame:
+def log(commits: DataFrame, graph: Graph, tips: list, since=None, author: str | None = None, committer: str | None = None, after=None, before=None, skip: int = 0, limit: int | None = None, first_parent: bool = False, topo: bool = False, by_time: bool = False, paths: DataFrame | None = None) -> DataFrame:
     """Commits reachable from the tips and not from ``since``, in order (column ``at``).
 
     ``author`` and ``committer`` are regular expressions for the whole name; commits without a name pass. ``paths`` is
-    a table with the commits that touched the wanted paths. Times are inclusive. Unknown tips are errors.
+    a table with the commits that touched the wanted paths. ``by_time`` goes by the times alone, so that a parent with a
+    later time comes before its child. Times are inclusive. Unknown tips are errors.
     """
     graph.check(*tips, *([] if since is None else [since]))
-    order = graph._first_parents(tips[0]) if first_parent else graph._topological(*tips) if topo else graph._chronological(*tips)
+    order = graph._first_parents(tips[0]) if first_parent else graph._topological(*tips) if topo else graph._by_time(*tips) if by_time else graph._chronological(*tips)
     if since is not None:
         order = order[~graph.reachable(since).flags[order]]
     out = commits.join(_listed(commits.sparkSession, graph.ids[order]), "commit")

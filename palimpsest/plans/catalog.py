@@ -561,7 +561,7 @@ def _(s, d):
 
 @register("log_chronological_limit", f"WITH RECURSIVE {COMMITS}, {_reach(TIP)} SELECT n.commit FROM node n JOIN up ON n.commit = up.c ORDER BY n.ts DESC LIMIT 7 OFFSET 2")
 def _(s, d):
-    return history.log(*_graph(s, d), [_tips(s, d)[0]], skip=2, limit=7).select("commit")
+    return history.log(*_graph(s, d), [_tips(s, d)[0]], by_time=True, skip=2, limit=7).select("commit")
 
 
 @register("log_author", f"WITH RECURSIVE {COMMITS}, {_reach(TIP)}, {_reach(NEAR, 'b')} SELECT commit, author FROM node WHERE commit IN (SELECT c FROM up UNION SELECT c FROM b) AND regexp_full_match(author, '1.*')")

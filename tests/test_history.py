@@ -3,9 +3,11 @@
 import random
 import tracemalloc
 
+import duckdb
 from pyspark.sql import functions as F
 
 from palimpsest.operators import history
+from palimpsest.plans import catalog
 
 
 def test_driver_holds_few_bytes_a_commit(spark):
@@ -58,3 +60,12 @@ def test_walks(spark):
             assert got == above(name(59)) - above(name(30))
             assert graph.children.get(name(-5), []) == [] and graph.reachable(name(-5)) == set()
     assert history.Graph({}).parents == {} and list(history.Graph.of(rows.limit(0)).parents) == []
+
+
+def test_log_by_time_where_parents_are_later(spark, tmp_path):
+    """The limited log of events whose times don't follow the graph, against its SQL."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (TIMESTAMP '2024-01-01' + to_seconds((event_id * 7919) % 100003) AS ts) FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(catalog.ORACLES["log_chronological_limit"]).fetchall()
+    assert [tuple(r) for r in catalog.QUERIES["log_chronological_limit"](spark, str(tmp_path)).collect()] == want and want
