@@ -1,8 +1,9 @@
 """The commit graph: reachability, logs, ancestors, blame and revision specs.
 
 A commits table has commit, parents (ordered array), author, committer, ts and message. Orders that are sequential by
-nature (topological order, ancestors) walk the (commit, parents) pairs on the driver, which holds them in arrays;
-``Graph.LIMIT`` bounds how many it takes. Everything about the rows themselves stays a DataFrame.
+nature (topological order, ancestors) walk the (commit, parents) pairs on the driver, which holds them in arrays, of a
+large table only those above the tips; ``Graph.LIMIT`` bounds how many it takes. Everything about the rows themselves
+stays a DataFrame.
 """
 
 from __future__ import annotations
@@ -81,11 +82,18 @@ class Links(Mapping):
 def _packed(batches):
     """Each batch of (commit, parents, ts) as one compressed row, so that the driver's JVM holds little of it."""
     for batch in batches:
-        held = pa.BufferOutputStream()
-        with pa.ipc.new_stream(held, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
-        row = (len(batch), len(batch.column(1).flatten()), held.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["n", "links", "rows"])
+        if len(batch):
+            held = pa.BufferOutputStream()
+            with pa.ipc.new_stream(held, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([held.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, ...]:
+    """(ids, numbers of parents, parents, times) of a compressed batch."""
+    part = pa.ipc.open_stream(packed).read_next_batch()
+    up = part.column("parents").flatten().to_numpy(zero_copy_only=False)
+    return part.column("commit").to_numpy(zero_copy_only=False), part.column("parents").value_lengths().to_numpy(), up, part.column("ts").fill_null(Graph.NO_TIME).to_numpy()
 
 
 def _starts(counts: np.ndarray) -> np.ndarray:
@@ -103,6 +111,8 @@ class Graph:
     """
 
     LIMIT = 20_000_000
+    #: Commits that are held whole whatever the tips are; levels that are asked for, and how many commits by a filter.
+    WHOLE, LEVELS, ASKED = 1_000_000, 100, 1000
     NO_TIME = np.iinfo(np.int64).min
 
     def __init__(self, parents: dict, times: dict | None = None):
@@ -113,28 +123,48 @@ class Graph:
         self._pack(ids, np.array([len(ps) for ps in parents.values()], dtype=np.int64), np.array(linked, dtype=ids.dtype if all(isinstance(p, int) for p in linked) else object), np.array(at, dtype=None if at else np.int64))
 
     @staticmethod
-    def of(commits: DataFrame) -> Graph:
-        if commits.count() > Graph.LIMIT:
-            raise ValueError(f"over {Graph.LIMIT} commits: walk the edges as a DataFrame instead")
+    def of(commits: DataFrame, tips: list | None = None) -> Graph:
+        """The graph of all commits. With ``tips``, of more than ``WHOLE`` commits only their ancestors, found level by
+        level, are held, which is all that walks from these tips need; histories of over ``LEVELS`` levels are held whole.
+        """
         time = F.unix_micros(F.col("ts").cast("timestamp")) if "timestamp" in dict(commits.dtypes)["ts"] else F.col("ts").cast("long")
         rows = commits.where("commit is not null").select("commit", F.coalesce("parents", F.array().cast(commits.schema["parents"].dataType)).alias("parents"), time.alias("ts"))
-        numbers = dict(commits.dtypes)["commit"] in ("tinyint", "smallint", "int", "bigint")
-        packed = rows.mapInArrow(_packed, "n long, links long, rows binary").toArrow()
-        n, links = (sum(packed.column(k).to_pylist()) for k in ("n", "links"))
-        kind = np.int64 if numbers else object
+        kind = np.int64 if dict(commits.dtypes)["commit"] in ("tinyint", "smallint", "int", "bigint") else object
+        n, links = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("parents")), F.lit(0))).first()
+        out = Graph.__new__(Graph)
+        if tips is not None and n > Graph.WHOLE and (found := Graph._ancestors(rows, tips, kind)):
+            out._pack(*found)
+            return out
+        if n > Graph.LIMIT:
+            raise ValueError(f"over {Graph.LIMIT} commits: walk the edges as a DataFrame instead")
         ids, counts, linked, at = np.empty(n, dtype=kind), np.empty(n, dtype=np.int32), np.empty(links, dtype=kind), np.empty(n, dtype=np.int64)
         k = m = 0
-        for x in packed.column("rows"):
-            part = pa.ipc.open_stream(x.as_buffer()).read_next_batch()
-            up = part.column("parents").flatten().to_numpy(zero_copy_only=False)
-            ids[k : k + len(part)], linked[m : m + len(up)] = part.column("commit").to_numpy(zero_copy_only=False), up
-            counts[k : k + len(part)], at[k : k + len(part)] = part.column("parents").value_lengths().to_numpy(), part.column("ts").fill_null(Graph.NO_TIME).to_numpy()
-            k, m = k + len(part), m + len(up)
-        del packed
-        out = Graph.__new__(Graph)
+        for x in rows.mapInArrow(_packed, "rows binary").toLocalIterator():  # the driver's JVM holds a partition at a time
+            part = _unpacked(x["rows"])
+            k, m = k + len(part[0]), m + len(part[2])
+            ids[k - len(part[0]) : k], counts[k - len(part[0]) : k], linked[m - len(part[2]) : m], at[k - len(part[0]) : k] = part
         out._pack(ids, counts, linked, at)
         return out
 
+    @staticmethod
+    def _ancestors(rows: DataFrame, tips: list, kind: type) -> tuple[np.ndarray, ...] | None:
+        """(ids, numbers of parents, parents, times) of the tips and all above them; None where the levels don't end."""
+        held: list[tuple[np.ndarray, ...]] = [(np.empty(0, dtype=kind), np.empty(0, dtype=np.int32), np.empty(0, dtype=kind), np.empty(0, dtype=np.int64))]
+        seen = level = np.unique(np.array([t for t in tips if t is not None], dtype=kind))
+        for _ in range(Graph.LEVELS):
+            if not len(level):
+                return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            asked = rows.where(F.col("commit").isin(level.tolist())) if len(level) <= Graph.ASKED else rows.join(_listed(rows.sparkSession, level).drop("at"), "commit", "left_semi")
+            parts = [_unpacked(x["rows"]) for x in asked.mapInArrow(_packed, "rows binary").collect()]
+            held += parts
+            above = np.unique(np.concatenate([x[2] for x in parts])) if parts else seen[:0]
+            at = np.minimum(np.searchsorted(seen, above), len(seen) - 1)
+            level = above[seen[at] != above]
+            seen = np.sort(np.concatenate([seen, level]))
+            if len(seen) > Graph.LIMIT:
+                return None
+        return None
+
     def _pack(self, ids: np.ndarray, counts: np.ndarray, linked: np.ndarray, times: np.ndarray) -> None:
         starts = _starts(counts)
         if len(ids) > 1 and not (ids[1:] > ids[:-1]).all():  # of rows that repeat a commit the last one holds

@@ -544,7 +544,7 @@ def _reach(tip: str, name: str = "up") -> str:
 
 def _graph(s, d):
     c = commits(s, d)
-    return c, history.Graph.of(c)
+    return c, history.Graph.of(c, list(_tips(s, d)))
 
 
 @register("graph_edges", f"WITH {COMMITS} SELECT c AS commit, p AS parent FROM edge")

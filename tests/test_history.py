@@ -69,3 +69,31 @@ def test_log_by_time_where_parents_are_later(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     want = con.execute(catalog.ORACLES["log_chronological_limit"]).fetchall()
     assert [tuple(r) for r in catalog.QUERIES["log_chronological_limit"](spark, str(tmp_path)).collect()] == want and want
+
+
+def test_large_tables_are_walked_from_the_tips(spark, monkeypatch):
+    """Of a table over WHOLE commits the driver holds the tips' ancestors alone, with the same answers; before, all of it."""
+    monkeypatch.setattr(history.Graph, "WHOLE", 0)
+    draw = random.Random(8)
+    for name in (int, str):
+        dag = {k: sorted({draw.randrange(max(0, k - 9), k) for _ in range(draw.choice([0, 1, 1, 2]))}) if k else [] for k in range(80)}
+        dag[71] = [*dag[71], 999]  # not in the table
+        kind = "long" if name is int else "string"
+        rows = spark.createDataFrame([(name(k), [name(p) for p in ps], None if k == 4 else k) for k, ps in dag.items()], f"commit {kind}, parents array<{kind}>, ts long").repartition(3)
+        whole, tips = history.Graph.of(rows), [name(71), name(78), name(30)]
+        for asked in (1000, 0):
+            monkeypatch.setattr(history.Graph, "ASKED", asked)
+            part = history.Graph.of(rows, tips)
+            assert set(part.ids.tolist()) == set(whole.reachable(*tips)) and len(part.ids) < 80
+            for a, b in zip(tips, tips[1:] + tips[:1], strict=True):
+                assert part.reachable(a) == set(whole.reachable(a)) and part.merge_bases(a, b) == whole.merge_bases(a, b) and part.ahead_behind(a, b) == whole.ahead_behind(a, b)
+                assert part.topological(a) == whole.topological(a) and part.chronological(a, b) == whole.chronological(a, b) and part.first_parents(a) == whole.first_parents(a)
+                assert part.parents[a] == whole.parents[a]
+        assert len(history.Graph.of(rows, [name(500)]).ids) == 0
+    chain = spark.range(300).select(F.col("id").alias("commit"), F.when(F.col("id") > 0, F.array(F.col("id") - 1)).otherwise(F.array().cast("array<bigint>")).alias("parents"), F.col("id").alias("ts"))
+    monkeypatch.setattr(history.Graph, "LEVELS", 3)
+    assert history.Graph.of(chain, [299]).first_parents(299) == list(range(299, -1, -1))  # too many levels: held whole
+    graph = catalog._graph(spark, "/root/testdata/sf0.001")[1]
+    assert len(graph.ids) == 1000  # three levels are too few there too
+    monkeypatch.setattr(history.Graph, "LEVELS", 100)
+    assert len(catalog._graph(spark, "/root/testdata/sf0.001")[1].ids) < 50
