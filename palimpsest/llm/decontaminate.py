@@ -152,16 +152,24 @@ def banded(pattern: np.ndarray, size: np.ndarray, text: np.ndarray) -> tuple[np.
     return last[np.arange(c), end].astype(np.int64), end
 
 
-def find(patterns: Patterns, whole: list[str]) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item, begin, end, edits) of aligned windows, in normalised texts; a run of windows that match is
-    there with its first, its last and some between, which overlap."""
+def sought(patterns: Patterns, whole: list[str]) -> tuple[np.ndarray, ...]:
+    """The candidates in normalised texts, by text number."""
     # A separator that is in no window keeps q-grams inside one text.
     codes = code_points("\uffff".join(whole) + "\uffff")
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in whole])])
     pos, item, place = patterns.hits(codes)
     if not len(pos):
-        return []
-    text, item, diagonal, at, hi = candidates(patterns, np.searchsorted(begins, pos, side="right") - 1, pos, item, place)
+        return pos, item, place, place, place
+    text, item, diagonal, lo, hi = candidates(patterns, np.searchsorted(begins, pos, side="right") - 1, pos, item, place)
+    return text, item, diagonal - begins[text], lo, hi
+
+
+def aligned(patterns: Patterns, whole: list[str], text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, at: np.ndarray, hi: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(text number, item, begin, end, edits) of candidates that hold a window; a run of windows that match is there
+    with its first, its last and some between, which overlap."""
+    codes = code_points("\uffff".join(whole) + "\uffff")
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in whole])])
+    diagonal = diagonal + begins[text]  # of the text alone before
     out = []
     width = 2 * STEP
     while len(at):
@@ -216,19 +224,31 @@ def _merged(found: list[tuple[int, int, int, int]]) -> list[dict]:
     return out
 
 
-#: Texts are searched in groups of about so many characters, which bounds the arrays whatever a batch holds.
-GROUP_CHARS = 60_000
+#: Texts are searched in groups of about so many characters, which bounds the arrays whatever a batch holds; texts of
+#: about so many with candidates are aligned together, as the steps of an alignment cost the same for few as for many.
+GROUP_CHARS, ALIGNED_CHARS = 60_000, 1_000_000
 
 
 def spans(patterns: Patterns, texts: list[str]) -> list[list[dict]]:
     """The regions of each text."""
     own: list[list] = [[] for _ in texts]
     group: list[tuple[int, int, str]] = []
-    held = 0
+    pool: list[tuple[int, int, str]] = []
+    kept: list[tuple[np.ndarray, ...]] = []
+    held = pooled = 0
 
     def done() -> None:
-        for k, item, begin, end, edits in find(patterns, [g[2] for g in group]):
-            n, offset, _ = group[k]
+        nonlocal pooled
+        text, *windows = sought(patterns, [g[2] for g in group])
+        which, text = np.unique(text, return_inverse=True)
+        if len(which):
+            kept.append((text + len(pool), *windows))
+            pool.extend(group[k] for k in which)
+            pooled += sum(len(group[k][2]) for k in which)
+
+    def align() -> None:
+        for k, item, begin, end, edits in aligned(patterns, [g[2] for g in pool], *(np.concatenate(x) for x in zip(*kept, strict=True))):
+            n, offset, _ = pool[k]
             own[n].append((item, begin + offset, end + offset, edits))
 
     for n, text in enumerate(map(normal, texts)):
@@ -242,10 +262,15 @@ def spans(patterns: Patterns, texts: list[str]) -> list[list[dict]]:
             if held and held + len(piece) > GROUP_CHARS:
                 done()
                 group, held = [], 0
+                if pooled >= ALIGNED_CHARS:
+                    align()
+                    pool, kept, pooled = [], [], 0
             group.append((n, offset, piece))
             held += len(piece)
     if group:
         done()
+    if pool:
+        align()
     return [_merged(f) for f in own]
 
 

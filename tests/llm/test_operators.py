@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import chat_format, common, decontaminate, exact_dedup, hmm_lm, jaccard_join, packing, quality, substring_dedup, toxicity, warc
@@ -738,3 +739,29 @@ def test_decontaminate_excerpts_and_short_items(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(table(spark, rows), empty).where("contaminated").count() == 0 and decontaminate.contamination(table(spark, rows).limit(0), empty).count() == 0
     assert [got[n] for n in range(1000, 1007)] == [[2], [], [3], [5], [6], [], []]
+
+
+def test_decontaminate_aligns_texts_together(monkeypatch):
+    """400 texts with two edited passages each, in many groups: the same regions as text by text; before, each group was aligned alone."""
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 9))) for _ in range(2000)]
+    said = [" ".join(draw.choices(words, k=40)) for _ in range(30)]
+    patterns = decontaminate.Patterns(list(enumerate(said)))
+    texts = []
+    for n in range(400):
+        passages = [draw.choice(said)[draw.randrange(40) :] for _ in range(2)]
+        for _ in range(draw.randrange(14)):
+            at = draw.randrange(len(passages[0]))
+            passages[0] = passages[0][:at] + "z" + passages[0][at + 1 :]
+        texts.append(" ".join(x for p in passages for x in (" ".join(draw.choices(words, k=60)), p)) if n % 3 else " ".join(draw.choices(words, k=90)))
+    texts[7] = ""
+    calls, banded = [], decontaminate.banded
+    monkeypatch.setattr(decontaminate, "banded", lambda *x: calls.append(len(x[0])) or banded(*x))
+    monkeypatch.setattr(decontaminate, "GROUP_CHARS", 5000)
+    found = decontaminate.spans(patterns, texts)
+    together = len(calls)
+    assert sum(map(bool, found)) > 250
+    assert [{r["item_id"] for r in f} for f in found] == [{r["item_id"] for r in decontaminate.spans(patterns, [t])[0]} for t in texts]
+    calls.clear()
+    monkeypatch.setattr(decontaminate, "ALIGNED_CHARS", 1)  # each group alone, as before
+    assert decontaminate.spans(patterns, texts) == found and len(calls) > 8 * together
