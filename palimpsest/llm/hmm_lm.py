@@ -36,6 +36,9 @@ END = -0x5EED
 #: Recursions run over groups of documents of similar length, of about so many tokens; longer texts than PIECE go alone.
 GROUP, PIECE = 800_000, 1 << 16
 
+#: Tokens of a partition's documents that are grouped together, over its batches.
+TOGETHER = 4_000_000
+
 #: Steps between two scalings.
 SCALED = 8
 
@@ -255,8 +258,20 @@ def recursions(tables: Tables, docs: list[np.ndarray], learn: bool):
     return out, work.counts if learn else None
 
 
-def _batches_of(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in batch.column(column).to_pylist()]
+def _together(batches):
+    """(symbols of each document, batches) of some ``TOGETHER`` tokens, so that a step of the recursions has many rows."""
+    docs, held, size = [], [], 0
+    for batch in batches:
+        own = [np.frombuffer(x, dtype="<u2") for x in batch.column("symbols").to_pylist()]
+        more = sum(map(len, own))
+        if held and size + more > TOGETHER:
+            yield docs, held
+            docs, held, size = [], [], 0
+        docs += own
+        held.append(batch)
+        size += more
+    if held:
+        yield docs, held
 
 
 def _expected(tables):
@@ -264,8 +279,8 @@ def _expected(tables):
 
     def scan(batches):
         total = None
-        for batch in batches:
-            _, counts = recursions(tables.value, _batches_of(batch, "symbols"), True)
+        for docs, _ in _together(batches):
+            _, counts = recursions(tables.value, docs, True)
             total = counts if total is None else tuple(x + y for x, y in zip(total, counts, strict=True))
         if total is not None:
             start, move, emit = total
@@ -290,9 +305,11 @@ def started(base: np.ndarray) -> Tables:
 
 def _scores(tables):
     def scan(batches):
-        for batch in batches:
-            logs, _ = recursions(tables.value, _batches_of(batch, "symbols"), False)
-            yield pa.RecordBatch.from_arrays([pa.array(logs / math.log(10)), *(batch.column(c) for c in _KEPT)], names=["forward", *_KEPT])
+        for docs, held in _together(batches):
+            logs, n = recursions(tables.value, docs, False)[0] / math.log(10), 0
+            for batch in held:
+                yield pa.RecordBatch.from_arrays([pa.array(logs[n : n + len(batch)]), *(batch.column(c) for c in _KEPT)], names=["forward", *_KEPT])
+                n += len(batch)
 
     return scan
 

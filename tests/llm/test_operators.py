@@ -765,3 +765,33 @@ def test_decontaminate_aligns_texts_together(monkeypatch):
     calls.clear()
     monkeypatch.setattr(decontaminate, "ALIGNED_CHARS", 1)  # each group alone, as before
     assert decontaminate.spans(patterns, texts) == found and len(calls) > 8 * together
+
+
+def test_recursions_take_batches_together(monkeypatch):
+    """40 small batches of a partition: one call of the recursions for all, up to the bound; before, one a batch."""
+    from types import SimpleNamespace
+
+    draw = np.random.default_rng(4)
+    base = np.full(hmm_lm.HEAD + hmm_lm.TAILS, 1 / (hmm_lm.HEAD + hmm_lm.TAILS))
+    shared = SimpleNamespace(value=hmm_lm.started(base))
+    docs = [[draw.integers(0, len(base), draw.integers(1, 60)).astype("<u2") for _ in range(draw.integers(0, 5))] for _ in range(40)]
+    batches = [pa.table({"symbols": pa.array([d.tobytes() for d in own], pa.binary()), **{c: pa.array(range(len(own)), pa.int64()) for c in hmm_lm._KEPT}}).combine_chunks().to_batches() or [] for own in docs]
+    batches = [b for own in batches for b in own]
+    sizes, recursions = [], hmm_lm.recursions
+    monkeypatch.setattr(hmm_lm, "recursions", lambda t, d, learn: sizes.append(sum(map(len, d))) or recursions(t, d, learn))
+
+    def results():
+        counts = [np.frombuffer(zlib.decompress(c), dtype="<f4") for c in list(hmm_lm._expected(shared)(iter(batches)))[0].column("counts").to_pylist()]
+        scored = list(hmm_lm._scores(shared)(iter(batches)))
+        assert [b.num_rows for b in scored] == [b.num_rows for b in batches]
+        return np.concatenate(counts), np.concatenate([b.column("forward").to_numpy() for b in scored])
+
+    one = results()
+    assert len(sizes) == 2
+    monkeypatch.setattr(hmm_lm, "TOGETHER", 300)
+    few = results()
+    assert max(sizes[2:]) <= 300 and len(sizes) > 10
+    for x, y in zip(one, few, strict=True):
+        assert np.allclose(x, y, rtol=1e-4, atol=1e-6)
+    alone = [recursions(shared.value, [d], False)[0][0] / np.log(10) for own in docs for d in own]
+    assert np.allclose(one[1], alone)
