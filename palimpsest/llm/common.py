@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -113,7 +115,31 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-@cache
+_TABLES, _AT_WORK = [], [""]
+
+
+def per_operator(table):
+    """A table that a worker process keeps from task to task, until a task of another operator begins."""
+    _TABLES.append(cache(table))
+    return _TABLES[-1]
+
+
+def begin(operator: str) -> None:
+    """Called where a task starts: a worker process outlives a stage, so the tables of the operator before go, and memory
+    that was freed goes back to the system, which Python's and Arrow's allocators keep otherwise."""
+    if _AT_WORK[0] != operator:
+        _AT_WORK[0] = operator
+        for table in _TABLES:
+            table.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+@per_operator
 def word_hashes() -> WordHashes:
     """One table a worker process, kept from task to task."""
     return WordHashes()

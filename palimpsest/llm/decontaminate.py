@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, identified, real_id, stored
+from palimpsest.llm.common import begin, bounded_batches, identified, real_id, stored
 
 Q, WINDOW, RATE, LEAST = 8, 96, 0.1, 32
 BLOCK_CHARS = 4_000_000
@@ -287,6 +287,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
         def scan(batches, shared=shared):
+            begin("decontaminate")
             for batch in batches:
                 found = [r + f for r, f in zip(batch.column(2).to_pylist(), spans(shared.value, batch.column(1).to_pylist()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "text", "regions"])
@@ -304,6 +305,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
         def scan(batches, shared=shared):
+            begin("decontaminate")
             for batch in batches:
                 found = spans(shared.value, [t or "" for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))

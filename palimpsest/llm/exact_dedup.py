@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_list, filter_of, identified, real_id, shuffle_partitions, small_enough, stored
+from palimpsest.llm.common import begin, byte_list, filter_of, identified, real_id, shuffle_partitions, small_enough, stored
 
 #: Members of a group that one copy of the staying text serves in the byte check.
 SALT = 4096
@@ -68,6 +68,7 @@ def _flush(mem: dict, run: str, ranges: int, key_bytes: int, bits: int) -> pa.Re
 
 def _memtables(ranges: int, key_bytes: int, limit: int, bits: int):
     def scan(batches):
+        begin("exact_dedup")
         mem: dict[bytes, list] = {}
         part, flushed = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -134,6 +135,7 @@ def _hits(wanted, key_bytes: int):
     """The documents whose digest may be that of a group."""
 
     def scan(batches):
+        begin("exact_dedup")
         for batch in batches:
             texts = [normalised(t) for t in byte_list(batch.column(1))]
             shas = [hashlib.sha256(t).digest() for t in texts]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_list, groups_of, identified, mix, real_id, shuffle_partitions, small_enough, split_words, stored
+from palimpsest.llm.common import begin, byte_list, groups_of, identified, mix, real_id, shuffle_partitions, small_enough, split_words, stored
 from palimpsest.llm.components import components
 
 COUNTERS, CHUNKS, SKETCH, FEW, PASSES = 1 << 20, 16, 512, 4, 2
@@ -104,6 +104,7 @@ def _sets(size: int):
     """Per document (doc_id, n, digest, sketch, wide); per task its counters, in chunks."""
 
     def scan(batches):
+        begin("jaccard_join")
         total, held, n = np.zeros(COUNTERS, dtype=np.int64), [], 0
 
         def add():
@@ -160,6 +161,7 @@ def _short_lists(ranks, size: int, percent: int, parts: int):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "tokens", "ids", "sizes"])
 
     def scan(batches):
+        begin("jaccard_join")
         held, n = [], 0
         rank = _unpacked(ranks.value)
         for batch in batches:
@@ -326,6 +328,7 @@ def _not_excluded(percent: int):
 
 def _tokens(size: int):
     def scan(batches):
+        begin("jaccard_join")
         for batch in batches:
             sets = [t.tobytes() for t in shingle_sets(byte_list(batch.column(1)), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array([len(t) // 8 for t in sets], pa.int64())], names=["doc_id", "held", "n"])

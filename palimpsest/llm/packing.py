@@ -18,14 +18,13 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_list, identified, real_id, shuffle_partitions, small_enough, stored
+from palimpsest.llm.common import begin, byte_list, identified, per_operator, real_id, shuffle_partitions, small_enough, stored
 
 
 class WordIds(dict):
@@ -88,7 +87,7 @@ class WordIds(dict):
         return out
 
 
-@cache
+@per_operator
 def word_ids(path: str) -> WordIds:
     """One table a worker process, kept from task to task."""
     return WordIds(path)
@@ -109,6 +108,7 @@ def _in_groups(words: WordIds, texts: list[bytes], size: int = 1 << 22) -> Itera
 
 def _pieces(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         words, end = word_ids(path), array("I", [end_id]).tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -161,6 +161,7 @@ def best_fit_runs(lengths: dict[int, int], capacity: int) -> dict[int, tuple[np.
 
 def _places(plan):
     def place(batches):
+        begin("packing")
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.empty(len(rank), dtype=np.int64), np.empty(len(rank), dtype=np.int64)

@@ -23,7 +23,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_list, groups_of, identified, real_id, shuffle_partitions, split_words, stored
+from palimpsest.llm.common import begin, byte_list, groups_of, identified, real_id, shuffle_partitions, split_words, stored
 
 EXAMPLES, CHI2, K, BLOCK = 4096, 40.0, 16, 64
 
@@ -213,6 +213,7 @@ def held_out(column: str = "doc_id"):
 
 def _counted(batches):
     """Each example's word hashes and counts, packed."""
+    begin("toxicity")
     for batch in batches:
         texts, packed = byte_list(batch.column(2)), []
         for lo, hi in groups_of(texts):
@@ -248,6 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple
     shared = spark.sparkContext.broadcast(Model(np.array([h[0] for h in held], dtype=np.int64), np.array([h[1] for h in held], dtype=np.int64), owner, words, counts, (toxic + 0.5) / (n + 1)))
 
     def own(batches):
+        begin("toxicity")
         for batch in batches:
             packed = _unpacked(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             votes = shared.value.votes(batch.num_rows, *packed, batch.column(0).to_pylist())
@@ -267,6 +269,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
 
     def scan(batches):
+        begin("toxicity")
         m = model.value
         for batch in batches:
             found = m.scores(byte_list(batch.column(1)), curve)
@@ -284,6 +287,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def scan(batches):
+        begin("toxicity")
         m = model.value
         for batch in batches:
             yield batch.filter(pa.array([p < 0.5 for p, _ in m.scores(byte_list(batch.column(at)), curve)], pa.bool_()))

@@ -795,3 +795,21 @@ def test_recursions_take_batches_together(monkeypatch):
         assert np.allclose(x, y, rtol=1e-4, atol=1e-6)
     alone = [recursions(shared.value, [d], False)[0][0] / np.log(10) for own in docs for d in own]
     assert np.allclose(one[1], alone)
+
+
+def test_workers_drop_the_tables_of_other_operators():
+    """A worker keeps the table of words between tasks of packing, and not once another operator is at work; before, for ever."""
+    import public_tokenizers
+
+    batch = lambda: iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two three", ""])], names=["doc_id", "text"])])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = pa.Table.from_batches(packing._pieces(path, 2048, 0)(batch()))
+    held = packing.word_ids(path)
+    assert len(held) == 3 and packing.word_ids.cache_info().currsize == 1
+    assert pa.Table.from_batches(packing._pieces(path, 2048, 0)(batch())) == first and packing.word_ids(path) is held
+    for other in (jaccard_join._sets(3), jaccard_join._tokens(3)):
+        common.begin("packing")
+        packing.word_ids(path)
+        list(other(batch()))
+        assert packing.word_ids.cache_info().currsize == 0
+    assert pa.Table.from_batches(packing._pieces(path, 2048, 0)(batch())) == first
