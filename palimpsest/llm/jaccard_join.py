@@ -15,10 +15,11 @@ one of the n - ceil(s*n) + 1 rarest of each: DivideSkip's short lists, when the
 3. Candidates are verified by the query, in blocks that each set reaches once: first by the wide sketches, then by the
    shingles. The query's shingles are divided again by their frequency: the lists of the rarer ones are heap-merged, and
    only candidates that they leave a chance are probed for the frequent ones by binary search. Those that reach T are links.
-4. Links make components. Queries that had more than ``FEW`` candidates go on to a further pass, over candidates in other
-   components only, with another hash; nearly all have found their component by then. When no more than ``FULL_PASS``
-   candidates are left, or after ``PASSES`` passes, all that are still in another component are verified, so no link
-   between components is missed.
+4. Links make components. Queries that had more than ``FEW`` candidates in a shard go on to a further pass there, over
+   candidates in other components only, with another hash; nearly all have found their component by then. The shard
+   names the lists, few and long ones first, that hold every candidate it left out; no other is read again. When no more
+   than ``FULL_PASS`` candidates are left, or after ``PASSES`` passes, all that are still in another component are
+   verified, so no link between components is missed.
 
 Shingles are compared by 64-bit hashes.
 """
@@ -201,9 +202,22 @@ def _merged(lists: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(lists))
 
 
+def _holding(lists: list[np.ndarray], wanted: np.ndarray, mask: np.ndarray) -> list[int]:
+    """Which of the lists, long ones first, hold all that is wanted; ``mask`` is False for every member, before and after."""
+    mask[wanted], out = True, []
+    for k in sorted(range(len(lists)), key=lambda k: -len(lists[k])):
+        new = lists[k][mask[lists[k]]]
+        if len(new):
+            mask[new] = False
+            out.append(k)
+    return out
+
+
 def _candidates(percent: int, number: int):
-    """Candidate pairs of one shard: (query, other, how many there were, where not all are here). Passes after the first (number 0) have queries that are
-    still open and candidates of other components only; the last one, number ``PASSES``, keeps every candidate."""
+    """Candidate pairs of one shard: (query, other, how many there were, where not all are here), and for a query whose
+    candidates are not all here, (query, shingle) of lists that hold the others. Passes after the first (number 0) have
+    the queries and lists that are still open and candidates of other components only; the last one, number ``PASSES``,
+    keeps every candidate."""
 
     def shard(table: pa.Table) -> pa.Table:
         token, doc, size = (table.column(k).to_numpy() for k in ("token", "doc_id", "n"))
@@ -211,17 +225,18 @@ def _candidates(percent: int, number: int):
         sizes = size[first].astype(np.int64)
         bits = np.frombuffer(b"".join(table.column("sketch").take(pa.array(first)).to_pylist()), dtype=np.uint64).reshape(len(ids), SKETCH // 64)
         group = table.column("root").to_numpy()[first] if number else None
-        asks = table.column("open").to_numpy(zero_copy_only=False)[first] if number else None
         order = np.lexsort((place, token))
         token, place = token[order], place[order]
+        asks = table.column("open").to_numpy(zero_copy_only=False)[order] if number else None
         begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         list_of = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
         by_doc = np.argsort(place, kind="stable")
         cuts = np.searchsorted(place[by_doc], np.arange(len(ids) + 1))
-        out_a, out_b, out_more = [], [], []
-        for q in range(len(ids)) if asks is None else np.flatnonzero(asks):
+        out_a, out_b, out_more, left_a, left_token, mask = [], [], [], [], [], np.zeros(len(ids), dtype=bool)
+        for q in range(len(ids)) if asks is None else np.unique(place[asks]):
             at = by_doc[cuts[q] : cuts[q + 1]]
-            lists = [place[begins[list_of[p]] : p] for p in at if p > begins[list_of[p]]]  # members below the query
+            at = [p for p in (at if asks is None else at[asks[at]]) if p > begins[list_of[p]]]
+            lists = [place[begins[list_of[p]] : p] for p in at]  # members below the query
             if not lists:
                 continue
             c = lists[0] if len(lists) == 1 else _merged(lists)
@@ -240,11 +255,17 @@ def _candidates(percent: int, number: int):
             if more:
                 # By a hash of the pair: shards agree on it, and the choices of a group make a tree of small degree.
                 with np.errstate(over="ignore"):
-                    c = c[[mix(ids[c].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[q : q + 1].view(np.uint64) + np.uint64(number)).argmin()]]
+                    one = [mix(ids[c].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[q : q + 1].view(np.uint64) + np.uint64(number)).argmin()]
+                left = _holding(lists, np.delete(c, one), mask)
+                left_a += [ids[q]] * len(left)
+                left_token += [token[at[k]] for k in left]
+                c = c[one]
             out_a += [ids[q]] * len(c)
             out_b += ids[c].tolist()
             out_more += [more] * len(c)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "more": pa.array(out_more, pa.int64())})
+        none = [None] * len(left_a)
+        columns = (("a", out_a + left_a), ("b", out_b + none), ("more", out_more + none), ("token", [None] * len(out_a) + left_token))
+        return pa.table({name: pa.array(values, pa.int64()) for name, values in columns})
 
     return shard
 
@@ -394,9 +415,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links, roots, tested, asking = None, None, None, postings
     number = 0
     while True:
-        found = asking.groupBy("part").applyInArrow(_candidates(percent, number), "a long, b long, more long").groupBy("a", "b").agg(F.sum("more").alias("more"))
-        found = stored(found, "pairs")
-        pairs = found.select("a", "b")
+        found = stored(asking.groupBy("part").applyInArrow(_candidates(percent, number), "a long, b long, more long, token long"), "candidates")
+        pairs = stored(found.where("token is null").select("a", "b").distinct(), "pairs")
         if tested is not None:  # every hash has first choices of its own
             pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not number or pairs.limit(1).count():
@@ -406,11 +426,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rest = found.agg(F.sum("more")).first()[0]
         if not rest:
             break
-        queries = stored(found.where("more > 0").select(F.col("a").alias("doc_id")).distinct().withColumn("open", F.lit(True)), "open")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        lists = stored(postings.join(small_enough(queries), "doc_id", "left_semi").select("token").distinct(), "lists")
+        left = found.where("token is not null").select("token", F.col("a").alias("doc_id"), F.lit(True).alias("open"))
+        lists = stored(left.select("token").distinct(), "lists")
         postings = stored(postings.join(small_enough(lists), "token", "left_semi"), "postings")  # no later pass needs other lists
-        asking = postings.join(small_enough(roots.withColumnRenamed("node", "doc_id")), "doc_id", "left").join(small_enough(queries), "doc_id", "left")
+        asking = postings.join(small_enough(roots.withColumnRenamed("node", "doc_id")), "doc_id", "left").join(small_enough(left), ["token", "doc_id"], "left")
         asking = asking.withColumn("root", F.coalesce("root", "doc_id")).withColumn("open", F.coalesce("open", F.lit(False)))
         number = PASSES if rest <= FULL_PASS else number + 1
     out = placed.join(small_enough(roots.withColumnRenamed("node", "class_id")), "class_id", "left")

@@ -87,6 +87,44 @@ def test_jaccard_join_large_groups(spark, monkeypatch, full_pass):
     assert got == brute_components(rows, 3, 90)
 
 
+def test_jaccard_join_rereads_few_lists(spark, monkeypatch):
+    """Later passes read lists that hold candidates which a shard left out, not all lists of an open query."""
+    monkeypatch.setattr(jaccard_join, "FULL_PASS", 20)
+    read, real = [], jaccard_join.stored
+
+    def told(df, name):
+        out = real(df, name)
+        if name == "postings":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", told)
+    rng = random.Random(11)
+    rows = []
+    for g in range(4):
+        base = [rng.choice(VOCAB) + str(rng.randint(0, 99)) for _ in range(300)]
+        for i in range(30):
+            words = list(base)
+            for k in range(rng.randint(0, 6)):
+                words[rng.randrange(300)] = f"e{g}-{i}-{k}"
+            rows.append((g * 30 + i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(table(spark, rows)).collect()}
+    assert got == brute_components(rows, 3, 90)
+    assert len(read) > 1 and read[1] * 3 < read[0], read
+
+
+def test_holding():
+    """The lists that are named hold every candidate that was left out."""
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        lists = [np.sort(rng.choice(50, rng.integers(1, 12), replace=False)) for _ in range(rng.integers(1, 9))]
+        held = np.unique(np.concatenate(lists))
+        wanted, mask = held[rng.random(len(held)) < 0.6], np.zeros(50, dtype=bool)
+        named = jaccard_join._holding(lists, wanted, mask)
+        assert set(wanted.tolist()) <= {x for k in named for x in lists[k].tolist()}
+        assert len(named) == len(set(named)) <= len(wanted) and not mask.any()
+
+
 def test_jaccard_join_odd(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(table(spark, ODD)).collect()}
     assert got == brute_components(ODD, 3, 90)
